@@ -23,6 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.operators.skew import hot_keys, join_small_per_key
+from quern.session import Scratch
+
 
 # Month names, as a feed writes them (lower case, without marks and final points), by number.
 _MONTHS = {
@@ -230,10 +233,12 @@ def normalise_timestamps(df: DataFrame, raw: Column | str, zone: Column | str, c
     drop = [c for c in df.columns if c.lower() == out.lower()]
     key = F.struct(F.trim(as_col(raw)).alias("raw"), as_col(zone).alias("zone"), as_col(country).alias("country"))
     rows = df.withColumn("__key", F.when(F.length(F.trim(as_col(raw))) > 0, key)).drop(*drop)
-    counts = rows.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
-    known = _dictionary(counts.select("__key.*"), dictionary)
+    counts = rows.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
+    counts = Scratch(df.sparkSession, "timestamps").write(counts.select(F.xxhash64("__key").alias("hash"), "__key.*", "n"), "keys")
+    hot = hot_keys(counts, "hash", "n")
+    known = _dictionary(counts.select(*_KEY), dictionary)
     table = known.select(F.struct(*_KEY).alias("__key"), F.col("epoch_ms").alias(out))
     # Rows without text would all meet in one task, so they take no part in the join.
-    hit = rows.where(F.col("__key").isNotNull()).join(table, "__key", "left").drop("__key")
+    hit = join_small_per_key(rows.where(F.col("__key").isNotNull()), table, "__key", hot, "left", by=F.xxhash64("__key")).drop("__key")
     none = rows.where(F.col("__key").isNull()).drop("__key").withColumn(out, F.lit(None).cast("bigint"))
     return hit.unionByName(none)
