@@ -42,6 +42,8 @@ CLOSED, DEVIATIONS = 0.03, 3.5
 #: Texts with the same last words count as one end; so many words are compared.
 TAIL = 10
 
+#: Marks for a lost rest, links and white space after it are looked for in so many last characters.
+END = 64
 #: Marks that replace a lost rest, with links to the whole text.
 _MORE = r"(?:Read more|Continue reading|Weiterlesen|Lire la suite|Leer más|Seguir leyendo|Читать далее|続きを読む|阅读全文)"
 _LOST = rf"(?:\s*(?:\[(?:…|\.\.\.|&hellip;)\]|…|\.\.\.+|&hellip;|�+))+\s*(?:{_MORE})?\s*$"
@@ -53,58 +55,62 @@ _ESCAPES = {"&ldquo;": "“", "&rdquo;": "”", "&lsquo;": "‘", "&rsquo;": "
 
 def _unescaped(text: Column) -> Column:
     plain = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), _ESCAPES.items(), text)
-    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+    return F.when(F.rlike(text, F.lit("&#?[a-z0-9]{2,6};")), plain).otherwise(text)
+
+
+_UPPER, _LOWER, _CJK = "[A-ZÀ-ÞΑ-ΩА-Я]", "[a-zà-ÿ'’α-ώа-я]", "\u3040-\u30ff\u3400-\u9fff"
+_BLANKS = "\n\t\r\u00a0\u202f\u2009\u3000"
 
 
 def _normal(text: Column) -> Column:
     """Words with their punctuation, kinds in place of numbers, addresses and names; blocks end with a form feed."""
-    text = F.regexp_replace(text, r"\n(?:[^\S\n]*\n)+|\n(?=\s*(?:[•*#–—\-]|\d{1,2}[.)])\s)", "\f")
-    text = F.regexp_replace(text, r"\b(?:https?://)?+(?:[a-z0-9-]++\.)+[a-z]{3,}+(?:/[\w./?=&%-]*+)?", "U")
-    text = F.regexp_replace(text, r"\p{Lu}[\p{Ll}'’]{3,}+(?![:：])(?:-on-\p{Lu}\p{Ll}*)?(?:[ \n]\p{Lu}\p{Ll}{3,}+(?:-on-\p{Lu}\p{Ll}*)?(?!:))*", "X")
-    text = F.regexp_replace(text, "\\d+(?:[.,\u00a0\u202f]?\\d+)*", "0")
-    return F.regexp_replace(text, r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}。！？、，：；「」『』（）])", " $1 ")
+    blocks = F.regexp_replace(text, r"\n(?:[^\S\n]*\n)+|\n(?=\s*(?:[•*#–—\-]|\d{1,2}[.)])\s)", "\f")
+    text = F.when(F.contains(text, F.lit("\n")), blocks).otherwise(text)
+    text = F.regexp_replace(text, r"(?<=[a-z0-9])\.[a-z]{3,}+(?:/[\w./?=&%-]*+)?", ".U")
+    name = rf"{_UPPER}{_LOWER}{{3,}}+(?:-[a-z]{{2}}-{_UPPER}{_LOWER}++)?+"
+    text = F.regexp_replace(text, rf"{name}(?![:：])(?:[ \n]{name}(?!:))*+", "X")
+    text = F.regexp_replace(text, "[0-9](?:[.,\u00a0\u202f]?[0-9])*+", "0")
+    apart = F.regexp_replace(text, f"([{_CJK}。！？、，：；「」『』（）])", " $1 ")
+    text = F.translate(F.when(F.rlike(text, F.lit(f"[{_CJK}]")), apart).otherwise(text), _BLANKS, " " * len(_BLANKS))
+    for run in ("    ", "  ", "  "):  # runs of blanks count as one
+        text = F.replace(text, F.lit(run), F.lit(" "))
+    return text
 
 
 def _words(text: Column) -> Column:
-    """The words of every block."""
-    blocks = F.filter(F.transform(F.split(_normal(text), "\f"), lambda b: F.trim(b)), lambda b: b != "")
-    return F.transform(blocks, lambda b: F.split(b, r"\s+"))
+    """Hashes of the words of every block."""
+    blocks = F.filter(F.split(_normal(text), "\f"), lambda b: F.rlike(b, F.lit(r"\S")))
+    return F.transform(blocks, lambda b: F.transform(F.split(F.trim(b), " "), lambda w: F.xxhash64(w)))
 
 
-def _position(words: Column, i: Column) -> Column:
-    """Hashes of the last three, two and one words up to the i-th; "^" stands for what is before the first."""
-    at = lambda k: F.when(k >= 0, F.get(words, k)).otherwise(F.lit("^"))
-    return F.struct(F.xxhash64(at(i - 2), at(i - 1), at(i)).alias("h3"), F.xxhash64(at(i - 1), at(i)).alias("h2"), F.xxhash64(at(i)).alias("h1"))
+def _three(a: Column, b: Column, c: Column) -> list[Column]:
+    """Hashes of three, two and one words; null stands for what is before the first."""
+    return [F.xxhash64(a, b, c).alias("h3"), F.xxhash64(b, c).alias("h2"), c.alias("h1")]
 
 
 def _positions(text: Column) -> Column:
-    """Every word's position, and whether a block ends there; the last one of the text is left out."""
+    """a, b, c, end: every word with the two before it, and whether a block ends there; the text's last word is left out."""
 
     def of_block(words: Column, k: Column, blocks: Column) -> Column:
         last = F.size(words) - 1
         kept = F.when(k == F.size(blocks) - 1, F.slice(words, 1, last)).otherwise(words)
-        return F.transform(kept, lambda w, i: F.struct(_position(words, i).alias("at"), (i == last).cast("int").alias("end")))
+        return F.transform(kept, lambda w, i: F.struct(F.get(words, i - 2).alias("a"), F.get(words, i - 1).alias("b"), w.alias("c"), (i == last).cast("int").alias("end")))
 
     # A lambda's variable is worked out once, an expression in its place once for every use.
     return F.flatten(F.flatten(F.transform(F.array(_words(text)), lambda blocks: F.transform(blocks, lambda words, k: of_block(words, k, blocks)))))
 
 
 def _last(text: Column) -> Column:
-    """at: the last position; h3, h2, h1 of it, before2 and before1 (the words before it), and tail (its last words)."""
-    # Blanks separate words, so a long enough run of the last ones holds the last TAIL words.
-    run = 5 * TAIL
-    ends = F.transform(F.array(F.split(text, " ")), lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - run + 1), F.lit(run)), " "))
-    end = F.get(ends, F.lit(0))
-
-    def of(words: Column, all_words: Column) -> Column:
-        n = F.size(words)
-        here, before = _position(words, n - 1), _position(words, n - 2)
-        return F.struct(
-            here["h3"].alias("h3"), here["h2"].alias("h2"), here["h1"].alias("h1"), F.when(n > 1, before["h2"]).alias("before2"), F.when(n > 1, before["h1"]).alias("before1"),
-            F.xxhash64(F.array_join(F.slice(all_words, F.greatest(F.lit(1), F.size(all_words) - TAIL + 1), F.lit(TAIL)), " ")).alias("tail"),
-        )
+    """a0, a, b, c: the last word and the three before it; tail: a hash of the last words."""
+    def of(blocks: Column) -> Column:
+        words = F.try_element_at(blocks, F.lit(-1))
+        at = lambda k: F.get(words, F.size(words) - k)
+        every = F.flatten(blocks)
+        tail = F.xxhash64(F.slice(every, F.greatest(F.lit(1), F.size(every) - TAIL + 1), F.lit(TAIL)))
+        return F.struct(at(4).alias("a0"), at(3).alias("a"), at(2).alias("b"), at(1).alias("c"), tail.alias("tail"))
 
-    return F.get(F.transform(F.array(_words(end)), lambda blocks: F.get(F.transform(F.slice(blocks, -1, 1), lambda words: of(words, F.flatten(blocks))), F.lit(0))), F.lit(0))
+    # The last words of a text stand in its last characters.
+    return F.get(F.transform(F.array(_words(F.right(text, F.lit(25 * TAIL)))), of), F.lit(0))
 
 
 def _closed(text: Column) -> Column:
@@ -113,19 +119,20 @@ def _closed(text: Column) -> Column:
     block = F.substring_index(F.replace(text, F.lit("\r"), F.lit("")), "\n\n", -1)
 
     def balanced(t: Column) -> Column:
-        count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
-        opened = reduce(lambda a, b: a | b, [count(a) > count(b) for a, b in ("«»", "「」", "()", "（）")])
-        return ~opened & ~F.when(F.contains(t, F.lit("„")), count("„") > count("“")).otherwise(count("“") > count("”"))
+        opened = F.rlike(t, F.lit(r"(?:«[^»]*+|「[^」]*+|\([^)]*+|（[^）]*+|„[^“”]*+)$"))
+        return ~opened & (F.contains(t, F.lit("„")) | ~F.rlike(t, F.lit("“[^”]*+$")))
 
-    return F.rlike(text, F.lit(end)) & F.get(F.transform(F.array(block), balanced), F.lit(0))
+    return F.rlike(F.right(text, F.lit(END)), F.lit(end)) & F.get(F.transform(F.array(block), balanced), F.lit(0))
 
 
 def _prepared(df: DataFrame, kind: str, ident: str, text: str, by: str) -> DataFrame:
-    col = _unescaped(F.col(f"`{text}`"))
-    rows = df.where(F.length(F.trim(F.col(f"`{text}`"))) > 0).select(F.lit(kind).alias("kind"), F.col(f"`{ident}`").cast("bigint").alias("row_no"), F.col(f"`{by}`").alias("source"), col.alias("t"))
-    rows = rows.withColumn("marked", F.rlike("t", F.lit(_LOST)))
-    kept = F.regexp_replace(F.regexp_replace(F.col("t"), _LOST, ""), _LINK, "")
-    return rows.withColumn("t", F.regexp_replace(kept, r"(?U)\s+$", "")).where(F.length("t") > 0)
+    col = F.col(f"`{text}`")
+    rows = df.where(F.length(F.trim(col)) > 0).select(F.lit(kind).alias("kind"), F.col(f"`{ident}`").cast("bigint").alias("row_no"), F.col(f"`{by}`").alias("source"), _unescaped(col).alias("t"))
+    # Marks and white space at the end are looked for in the last characters only.
+    cut = F.length("t") - END
+    rows = rows.select("kind", "row_no", "source", F.when(cut > 0, F.left("t", cut)).otherwise("").alias("head"), F.right("t", F.lit(END)).alias("end"))
+    kept = F.regexp_replace(F.regexp_replace(F.regexp_replace("end", _LOST, ""), _LINK, ""), r"(?U)\s+$", "")
+    return rows.select("kind", "row_no", "source", F.rlike("end", F.lit(_LOST)).alias("marked"), F.concat("head", kept).alias("t"))
 
 
 def find_truncated(parts: Sequence[tuple[DataFrame, str, str, str, str]]) -> DataFrame:
@@ -136,11 +143,16 @@ def find_truncated(parts: Sequence[tuple[DataFrame, str, str, str, str]]) -> Dat
     """
     scratch = Scratch(parts[0][0].sparkSession, "truncation")
     texts = reduce(DataFrame.unionByName, [_prepared(*p) for p in parts])
-    places = texts.select(F.inline(_positions(F.col("t")))).select("at.*", "end")
+    places = texts.select(F.inline(_positions(F.col("t")))).select(*_three(F.col("a"), F.col("b"), F.col("c")), "end")
     count3 = scratch.write(places.groupBy("h3").agg(F.count(F.lit(1)).alias("n"), F.sum("end").alias("e"), F.first("h2").alias("h2"), F.first("h1").alias("h1")), "count3")
 
-    last = texts.select("kind", "row_no", "source", "marked", _closed(F.col("t")).alias("closed"), _last(F.col("t")).alias("x")).where(F.col("x").isNotNull())
-    last = scratch.write(last.select("kind", "row_no", "source", "marked", "closed", "x.*"), "last")
+    # Written before its parts are used, or each use would work it out again.
+    last = scratch.write(texts.select("kind", "row_no", "source", "marked", _closed(F.col("t")).alias("closed"), _last(F.col("t")).alias("x")), "last")
+    last = last.where("x.c IS NOT NULL").select("kind", "row_no", "source", "marked", "closed", "x.*")
+    before = _three(F.col("a0"), F.col("a"), F.col("b"))
+    here = _three(F.col("a"), F.col("b"), F.col("c"))
+    has = F.col("b").isNotNull()
+    last = last.select("kind", "row_no", "source", "marked", "closed", "tail", *here, F.when(has, before[1]).alias("before2"), F.when(has, before[2]).alias("before1"))
     # Texts that end alike, a third of all perhaps, are one row from here on.
     tails = last.groupBy("h3", "h2", "h1", "before2", "before1", "tail").agg(F.count_if(~F.col("marked")).alias("texts"))
     ends = tails.groupBy("h3", "h2", "h1", "before2", "before1").agg(F.sum("texts").alias("texts"), F.count_if(F.col("texts") > 0).alias("ends"))
