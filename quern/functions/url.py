@@ -53,3 +53,31 @@ def page_address(url: Column) -> Column:
     query = F.array_join(F.array_sort(F.transform(pairs, _unescape)), "&")
     whole = F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     return F.when(whole != "", whole)
+
+# Parameters that feed items' addresses lose.
+FEED_TRACKING = r"^(?:utm_|fbclid|gclid|mc_|ref$|ref_src|cmpid|ito)"
+
+
+def feed_address(url: Column) -> Column:
+    """The address of a feed item as its key: scheme (https if missing), lower-case host with port, path without final
+    slash, and the parameters with a value that aren't FEED_TRACKING, in their order; no fragment."""
+    text = F.trim(url)
+    scheme = F.lower(F.coalesce(F.nullif(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1), F.lit("")), F.lit("https")))
+    body = F.regexp_replace(F.regexp_replace(text, r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.\-]*://", "")
+    host = F.lower(F.regexp_extract(body, r"^([^/?]*)", 1))
+    path = F.regexp_replace(F.regexp_extract(body, r"^[^/?]*([^?]*)", 1), r"/+$", "")
+    pairs = F.split(F.regexp_extract(body, r"\?(.*)$", 1), "&")
+    kept = F.filter(pairs, lambda x: F.rlike(x, F.lit(r"^[^=]*=.")) & ~F.rlike(F.regexp_extract(x, r"^([^=]*)", 1), F.lit(FEED_TRACKING)))
+    query = F.array_join(kept, "&")
+    return F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+
+
+def domain(url: Column) -> Column:
+    """The lower-case host without port and leading www."""
+    return F.regexp_replace(F.regexp_replace(address_parts(url)["host"], r":\d+$", ""), r"^www\.", "")
+
+
+def domain_suffixes(host: Column) -> Column:
+    """The host and every suffix of it that begins after a point: what a suffix list can be joined with by equality."""
+    parts = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
