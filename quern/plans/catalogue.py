@@ -11,6 +11,8 @@ from quern.functions import text as X
 from quern.functions.html import page_extract
 from quern.functions.url import domain, feed_address
 from quern.operators import audit, checks, discovery, evidence, monitoring, ordering, publication, series
+from quern.session import Scratch
+from quern.streaming import feeds as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,7 +45,7 @@ _ADDRESS = """(SELECT *, CASE WHEN q <> '' THEN b || '?' || q ELSE b END AS addr
         regexp_replace(regexp_replace(trim(url, ' '), '#(?s:.)*$', ''), '^[A-Za-z][A-Za-z0-9+.\\-]*://', '') AS body FROM {0} WHERE url IS NOT NULL))))"""
 
 
-@query(f"SELECT doc_id, length(n) AS chars, sha256(n) AS digest FROM (SELECT doc_id, {_NORM.format('text')} AS n FROM documents WHERE text IS NOT NULL)")
+@query(f"SELECT doc_id, length(n) AS chars, sha256(n) AS digest FROM (SELECT doc_id, {_NORM.replace('{0}', 'text')} AS n FROM documents WHERE text IS NOT NULL)")
 def normalised_documents(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", X.norm_space(F.col("text")).alias("n"))
     return rows.select("doc_id", F.length("n").alias("chars"), F.sha2("n", 256).alias("digest"))
@@ -113,8 +115,8 @@ _DOCS = f"(SELECT doc_id, text, rights, address AS page FROM {_ADDRESS.format('d
 
 
 @query(f"""WITH d AS {_DOCS}, r AS (SELECT page, string_agg(text, ' ' ORDER BY doc_id) AS readable FROM d WHERE rights IN ('LICENSED', 'PRIMARY_PUBLIC') AND text IS NOT NULL GROUP BY page)
-    SELECT c.ord, d.doc_id, CASE WHEN NOT coalesce(contains(lower({_NORM.format('d.text')}), lower({_NORM.format('c.summary')})), false) THEN 'supporting passage not found verbatim'
-        WHEN d.rights = 'FACTS_ONLY' AND NOT coalesce(contains(lower({_NORM.format('r.readable')}), lower({_NORM.format('c.summary')})), false) THEN 'only in another outlet''s report; no primary confirmation' END AS why
+    SELECT c.ord, d.doc_id, CASE WHEN NOT coalesce(contains(lower({_NORM.replace('{0}', 'd.text')}), lower({_NORM.replace('{0}', 'c.summary')})), false) THEN 'supporting passage not found verbatim'
+        WHEN d.rights = 'FACTS_ONLY' AND NOT coalesce(contains(lower({_NORM.replace('{0}', 'r.readable')}), lower({_NORM.replace('{0}', 'c.summary')})), false) THEN 'only in another outlet''s report; no primary confirmation' END AS why
     FROM {_CLAIMS} c LEFT JOIN d ON c.page = d.page LEFT JOIN r ON c.page = r.page""")
 def claim_verification(spark: SparkSession, folder: str) -> DataFrame:
     claims, docs = _facts(spark, folder)
@@ -279,7 +281,7 @@ def due_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""SELECT c.ord, CASE WHEN p.status IN (404, 410) THEN 'source is gone' WHEN p.status IS NULL OR p.status <> 200 OR coalesce(p.text, '') = '' THEN 'source can''t be read'
-    WHEN NOT coalesce(contains(lower({_NORM.format('p.text')}), lower({_NORM.format('c.summary')})), false) THEN 'passage no longer found: ' || substr(c.summary, 1, 90) END AS problem
+    WHEN NOT coalesce(contains(lower({_NORM.replace('{0}', 'p.text')}), lower({_NORM.replace('{0}', 'c.summary')})), false) THEN 'passage no longer found: ' || substr(c.summary, 1, 90) END AS problem
     FROM {_CLAIMS} c LEFT JOIN (SELECT address AS page, status, text FROM {_ADDRESS.format('pages')}) p ON c.page = p.page""")
 def source_rechecks(spark: SparkSession, folder: str) -> DataFrame:
     claims, _ = _facts(spark, folder)
@@ -431,3 +433,21 @@ def reading_times(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT ord, CASE WHEN length(summary) > 120 THEN regexp_replace(substr(summary, 1, 117), ' [^ ]*$', '') || '…' ELSE summary END AS subject FROM candidates WHERE summary IS NOT NULL""")
 def subjects(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "candidates").where("summary IS NOT NULL").select("ord", X.ellipsize(F.col("summary")).alias("subject"))
+
+
+@query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id")
+def streamed_first_events(spark: SparkSession, folder: str) -> DataFrame:
+    """First events of each user and type, kept by a stream for longer than the table lasts; then counted by user."""
+    like = table(spark, folder, "events")
+    stream = streams.read_table(spark, f"{folder}/events.parquet", like).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    keyed = stream.withColumn("key", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
+    first = streams.run_to_table(streams.first_within(keyed, "key", "ts", "3650 days"), Scratch(spark, "stream").path)
+    return first.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def streamed_daily_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Closed days of a stream: those that the watermark has passed."""
+    like = table(spark, folder, "events")
+    stream = streams.read_table(spark, f"{folder}/events.parquet", like).select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    return streams.run_to_table(streams.window_counts(stream, "ts", "event_type", "value"), Scratch(spark, "stream").path)
