@@ -60,57 +60,61 @@ def _unescaped(text: Column) -> Column:
 
 _UPPER, _LOWER, _CJK = "[A-ZÀ-ÞΑ-ΩА-Я]", "[a-zà-ÿ'’α-ώа-я]", "\u3040-\u30ff\u3400-\u9fff"
 _BLANKS = "\n\t\r\u00a0\u202f\u2009\u3000"
+_STOP = "\f"  # stands as a word between two blocks
 
 
-def _normal(text: Column) -> Column:
-    """Words with their punctuation, kinds in place of numbers, addresses and names; blocks end with a form feed."""
-    blocks = F.regexp_replace(text, r"\n(?:[^\S\n]*\n)+|\n(?=\s*(?:[•*#–—\-]|\d{1,2}[.)])\s)", "\f")
-    text = F.when(F.contains(text, F.lit("\n")), blocks).otherwise(text)
-    text = F.regexp_replace(text, r"(?<=[a-z0-9])\.[a-z]{3,}+(?:/[\w./?=&%-]*+)?", ".U")
-    name = rf"{_UPPER}{_LOWER}{{3,}}+(?:-[a-z]{{2}}-{_UPPER}{_LOWER}++)?+"
-    text = F.regexp_replace(text, rf"{name}(?![:：])(?:[ \n]{name}(?!:))*+", "X")
-    text = F.regexp_replace(text, "[0-9](?:[.,\u00a0\u202f]?[0-9])*+", "0")
-    apart = F.regexp_replace(text, f"([{_CJK}。！？、，：；「」『』（）])", " $1 ")
-    text = F.translate(F.when(F.rlike(text, F.lit(f"[{_CJK}]")), apart).otherwise(text), _BLANKS, " " * len(_BLANKS))
-    for run in ("    ", "  ", "  "):  # runs of blanks count as one
-        text = F.replace(text, F.lit(run), F.lit(" "))
-    return text
-
+def _split_words(df: DataFrame, text: Column) -> DataFrame:
+    """df with words: those of text with their punctuation, kinds in place of numbers, addresses and names.
 
-def _words(text: Column) -> Column:
-    """Hashes of the words of every block."""
-    blocks = F.filter(F.split(_normal(text), "\f"), lambda b: F.rlike(b, F.lit(r"\S")))
-    return F.transform(blocks, lambda b: F.transform(F.split(F.trim(b), " "), lambda w: F.xxhash64(w)))
+    In steps, since an expression used twice in one step is worked out twice.
+    """
+    lines = r"\n(?:[^\S\n]*\n)+|\n(?=\s*(?:[•*#–—\-]|\d{1,2}[.)])\s)"
+    name = rf"{_UPPER}{_LOWER}{{3,}}+(?:-[a-z]{{2}}-{_UPPER}{_LOWER}++)?+"
+    rows = df.withColumn("words", text)
+    rows = rows.withColumn("words", F.when(F.contains("words", F.lit("\n")), F.regexp_replace("words", lines, "\f")).otherwise(F.col("words")))
+    t = F.regexp_replace("words", r"(?<=[a-z0-9])\.[a-z]{3,}+(?:/[\w./?=&%-]*+)?", ".U")
+    t = F.regexp_replace(t, rf"{name}(?![:：])(?:[ \n]{name}(?!:))*+", "X")
+    rows = rows.withColumn("words", F.regexp_replace(t, "[0-9](?:[.,\u00a0\u202f]?[0-9])*+", "0"))
+    apart = F.regexp_replace("words", f"([{_CJK}。！？、，：；「」『』（）])", " $1 ")
+    rows = rows.withColumn("words", F.when(F.rlike("words", F.lit(f"[{_CJK}]")), apart).otherwise(F.col("words")))
+    t = F.col("words")
+    # Plain replacements are many times faster than a translation or an expression here.
+    for old, new in [(c, " ") for c in _BLANKS] + [("\f", f" {_STOP} ")] + [("    ", " "), ("  ", " "), ("  ", " ")]:
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return rows.withColumn("words", F.split(F.trim(t), " "))
 
 
 def _three(a: Column, b: Column, c: Column) -> list[Column]:
-    """Hashes of three, two and one words; null stands for what is before the first."""
-    return [F.xxhash64(a, b, c).alias("h3"), F.xxhash64(b, c).alias("h2"), c.alias("h1")]
+    """Hashes of three, two and one words; nulls stand for what is before the first of a block."""
+    return [F.xxhash64(a, b, c).alias("h3"), F.xxhash64(b, c).alias("h2"), F.xxhash64(c).alias("h1")]
 
 
-def _positions(text: Column) -> Column:
-    """a, b, c, end: every word with the two before it, and whether a block ends there; the text's last word is left out."""
+def _before(words: Column, i: Column, k: int) -> Column:
+    """The word k places before the i-th, null where its block begins in between."""
+    near = F.get(words, i - 1)
+    if k == 1:
+        return F.when(near != _STOP, near)
+    far = F.get(words, i - 2)
+    return F.when((near != _STOP) & (far != _STOP), far)
 
-    def of_block(words: Column, k: Column, blocks: Column) -> Column:
-        last = F.size(words) - 1
-        kept = F.when(k == F.size(blocks) - 1, F.slice(words, 1, last)).otherwise(words)
-        return F.transform(kept, lambda w, i: F.struct(F.get(words, i - 2).alias("a"), F.get(words, i - 1).alias("b"), w.alias("c"), (i == last).cast("int").alias("end")))
 
-    # A lambda's variable is worked out once, an expression in its place once for every use.
-    return F.flatten(F.flatten(F.transform(F.array(_words(text)), lambda blocks: F.transform(blocks, lambda words, k: of_block(words, k, blocks)))))
+def _positions(texts: DataFrame) -> DataFrame:
+    """h3, h2, h1, end of every word but the texts' last ones: end says whether a block ends there.
 
+    The words are one array per text, exploded with their places, so all of this is generated code.
+    """
+    words, i, c = F.col("words"), F.col("i"), F.col("c")
+    each = _split_words(texts.select("t"), F.col("t")).select("words", F.posexplode("words").alias("i", "c"))
+    each = each.where((c != _STOP) & (i < F.size(words) - 1))
+    return each.select(*_three(_before(words, i, 2), _before(words, i, 1), c), (F.get(words, i + 1) == _STOP).cast("int").alias("end"))
 
-def _last(text: Column) -> Column:
-    """a0, a, b, c: the last word and the three before it; tail: a hash of the last words."""
-    def of(blocks: Column) -> Column:
-        words = F.try_element_at(blocks, F.lit(-1))
-        at = lambda k: F.get(words, F.size(words) - k)
-        every = F.flatten(blocks)
-        tail = F.xxhash64(F.slice(every, F.greatest(F.lit(1), F.size(every) - TAIL + 1), F.lit(TAIL)))
-        return F.struct(at(4).alias("a0"), at(3).alias("a"), at(2).alias("b"), at(1).alias("c"), tail.alias("tail"))
 
-    # The last words of a text stand in its last characters.
-    return F.get(F.transform(F.array(_words(F.right(text, F.lit(25 * TAIL)))), of), F.lit(0))
+def _last(words: Column) -> list[Column]:
+    """h3, h2, h1 of the last word, the hashes before2 and before1 of the words before it, and tail, of the last words."""
+    i = F.size(words) - 1
+    a, b, c = _before(words, i, 2), _before(words, i, 1), F.get(words, i)
+    tail = F.xxhash64(F.slice(words, F.greatest(F.lit(1), i + 2 - TAIL), F.lit(TAIL)))
+    return [*_three(a, b, c), F.when(b.isNotNull(), F.xxhash64(a, b)).alias("before2"), F.when(b.isNotNull(), F.xxhash64(b)).alias("before1"), tail.alias("tail")]
 
 
 def _closed(text: Column) -> Column:
@@ -143,16 +147,13 @@ def find_truncated(parts: Sequence[tuple[DataFrame, str, str, str, str]]) -> Dat
     """
     scratch = Scratch(parts[0][0].sparkSession, "truncation")
     texts = reduce(DataFrame.unionByName, [_prepared(*p) for p in parts])
-    places = texts.select(F.inline(_positions(F.col("t")))).select(*_three(F.col("a"), F.col("b"), F.col("c")), "end")
+    places = _positions(texts)
     count3 = scratch.write(places.groupBy("h3").agg(F.count(F.lit(1)).alias("n"), F.sum("end").alias("e"), F.first("h2").alias("h2"), F.first("h1").alias("h1")), "count3")
 
-    # Written before its parts are used, or each use would work it out again.
-    last = scratch.write(texts.select("kind", "row_no", "source", "marked", _closed(F.col("t")).alias("closed"), _last(F.col("t")).alias("x")), "last")
-    last = last.where("x.c IS NOT NULL").select("kind", "row_no", "source", "marked", "closed", "x.*")
-    before = _three(F.col("a0"), F.col("a"), F.col("b"))
-    here = _three(F.col("a"), F.col("b"), F.col("c"))
-    has = F.col("b").isNotNull()
-    last = last.select("kind", "row_no", "source", "marked", "closed", "tail", *here, F.when(has, before[1]).alias("before2"), F.when(has, before[2]).alias("before1"))
+    # The last words of a text stand in its last characters. Written before their parts are used, or each use would work
+    # them out again.
+    last = texts.select("kind", "row_no", "source", "marked", _closed(F.col("t")).alias("closed"), F.right("t", F.lit(16 * TAIL)).alias("t"))
+    last = scratch.write(_split_words(last, F.col("t")).drop("t"), "last").where(F.get("words", F.lit(0)) != "").select("kind", "row_no", "source", "marked", "closed", *_last(F.col("words")))
     # Texts that end alike, a third of all perhaps, are one row from here on.
     tails = last.groupBy("h3", "h2", "h1", "before2", "before1", "tail").agg(F.count_if(~F.col("marked")).alias("texts"))
     ends = tails.groupBy("h3", "h2", "h1", "before2", "before1").agg(F.sum("texts").alias("texts"), F.count_if(F.col("texts") > 0).alias("ends"))
