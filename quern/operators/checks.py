@@ -13,9 +13,9 @@ MOST_DETAILS = 20
 TOLERANCE, LOOSE = 0.005, 0.05
 
 
-def result(details: Column, bad: str = "fail") -> Column:
+def _result(details: Column, bad: str = "fail") -> Column:
     """STRUCT<status, details>: pass without details, else bad with the first twenty."""
-    return F.struct(F.when(F.size(details) == 0, "pass").otherwise(bad).alias("status"), F.slice(details, 1, MOST_DETAILS).alias("details"))
+    return X.bound(details, lambda d: F.struct(F.when(F.size(d) == 0, "pass").otherwise(bad).alias("status"), F.slice(d, 1, MOST_DETAILS).alias("details")))
 
 
 def _close(value: Column, other: Column, tolerance: float) -> Column:
@@ -24,18 +24,18 @@ def _close(value: Column, other: Column, tolerance: float) -> Column:
 
 def numbers(draft: Column, evidence: Column) -> Column:
     """Every figure of the draft, years apart, is one of the evidence within 0.5 %, or within 5 % if marked as rough."""
-    known = F.transform(X.figures(evidence), lambda f: f["value"])
     rough = "|".join(re.escape(w) for w in X.APPROXIMATORS)
 
-    def unsupported(f: Column) -> Column:
+    def unsupported(f: Column, known: Column, low: Column) -> Column:
         year = F.rlike(f["surface"], F.lit(r"^(?:19|20)\d{2}$"))
-        marked = F.rlike(F.lower(draft), F.concat(F.lit(rf"\b(?:{rough})\s+\Q"), F.lower(f["surface"]), F.lit(r"\E")))
         near = F.exists(known, lambda v: _close(f["value"], v, TOLERANCE))
         nearly = F.exists(known, lambda v: (v != 0) & (F.abs(f["value"] - v) <= LOOSE * F.abs(v)))
-        return ~year & ~near & ~(marked & nearly)
+        marked = nearly & F.rlike(low, F.concat(F.lit(rf"\b(?:{rough})\s+\Q"), F.lower(f["surface"]), F.lit(r"\E")))
+        return ~year & ~near & ~marked
 
-    bad = F.filter(X.figures(draft), unsupported)
-    return result(F.transform(bad, lambda f: F.concat(F.lit("'"), f["surface"], F.lit("' not found in evidence"))))
+    of = lambda known, low: F.filter(X.figures(draft), lambda f: unsupported(f, known, low))
+    bad = X.bound(F.array_distinct(F.transform(X.figures(evidence), lambda f: f["value"])), lambda known: X.bound(F.lower(draft), lambda low: of(known, low)))
+    return _result(F.transform(bad, lambda f: F.concat(F.lit("'"), f["surface"], F.lit("' not found in evidence"))))
 
 
 def dates(draft: Column, evidence: Column) -> Column:
@@ -44,55 +44,53 @@ def dates(draft: Column, evidence: Column) -> Column:
     lost_days = F.transform(F.array_except(X.day_months(draft), X.day_months(evidence)), lambda d: F.concat(F.lit("date '"), d, F.lit("' not in evidence")))
     relative = X.relative_dates(draft)
     words = F.when(F.size(relative) > 0, F.array(F.concat(F.lit("relative date words used: "), F.array_join(relative, ", ")))).otherwise(F.array().cast("array<string>"))
-    return result(F.concat(lost_years, lost_days, words))
+    return _result(F.concat(lost_years, lost_days, words))
 
 
 def quotes(draft: Column, evidence: Column) -> Column:
     """Every quotation of the draft stands in the evidence word by word."""
-    low = F.lower(X.norm_space(evidence))
-    bad = F.filter(X.quotations(draft), lambda q: ~F.contains(low, F.lower(X.norm_space(q))))
-    return result(F.transform(bad, lambda q: F.concat(F.lit("quote not verbatim in evidence: “"), F.substring(q, 1, 80), F.lit("”"))))
+    bad = X.bound(F.lower(X.norm_space(evidence)), lambda low: F.filter(X.quotations(draft), lambda q: ~F.contains(low, F.lower(X.norm_space(q)))))
+    return _result(F.transform(bad, lambda q: F.concat(F.lit("quote not verbatim in evidence: “"), F.substring(q, 1, 80), F.lit("”"))))
 
 
 def entities(draft: Column, evidence: Column, allowed: list[str] | None = None) -> Column:
     """Names of the draft stand in the evidence; those that don't are a warning."""
-    low = F.lower(X.norm_space(evidence))
+    known = [a.lower() for a in allowed or ["united states", "united kingdom", "european union"]]
     core = lambda n: F.regexp_replace(F.regexp_replace(F.lower(n), "^(?:the|an?) ", ""), "['’s]+$", "")
     names = F.transform(X.capital_runs(draft), X.norm_space)
-    bad = F.filter(names, lambda n: ~F.lower(n).isin([a.lower() for a in allowed or ["united states", "united kingdom", "european union"]]) & ~F.contains(low, F.lower(n)) & ~F.contains(low, core(n)))
-    return result(F.transform(F.array_sort(bad), lambda n: F.concat(F.lit("name not in evidence: "), n)), "warn")
+    missing = lambda low: F.filter(names, lambda n: ~F.lower(n).isin(known) & ~F.contains(low, F.lower(n)) & ~F.contains(low, core(n)))
+    bad = X.bound(F.lower(X.norm_space(evidence)), missing)
+    return _result(F.transform(F.array_sort(bad), lambda n: F.concat(F.lit("name not in evidence: "), n)), "warn")
 
 
 def hype(draft: Column, evidence: Column, words: list[str] | None = None) -> Column:
     """Strong words are used only where the evidence uses them."""
     words = words or X.HYPE_WORDS
     bad = F.array_except(X.words_used(draft, words), X.words_used(evidence, words))
-    return result(F.transform(bad, lambda w: F.concat(F.lit("'"), w, F.lit("' used but not supported by the evidence wording"))))
+    return _result(F.transform(bad, lambda w: F.concat(F.lit("'"), w, F.lit("' used but not supported by the evidence wording"))))
 
 
 def copying(draft: Column, sources: Column, run: int = 12, short: int = 5, most: float = 0.15) -> Column:
     """The draft, its quotations apart, shares no run of 12 words with a source, nor over 15 % of its runs of five."""
     words = lambda t: X.tokens(t, "[a-z0-9']+")
     own = words(F.regexp_replace(draft, "[\"“][^\"”]*[\"”]", " "))
-    long_runs, short_runs = X.shingles(own, run), X.shingles(own, short)
 
-    def of(source: Column, i: Column) -> Column:
-        theirs = words(source)
+    def of(long_runs: Column, short_runs: Column, theirs: Column, number: Column) -> Column:
         copied = F.size(F.array_intersect(long_runs, X.shingles(theirs, run))) > 0
         share = F.try_divide(F.size(F.array_intersect(short_runs, X.shingles(theirs, short))), F.size(short_runs))
-        number = (i + 1).cast("string")
-        return F.array_compact(F.array(
-            F.when(copied, F.concat(F.lit("12+ word passage copied from source "), number, F.lit(" without quotation marks"))),
-            F.when(share > most, F.concat(F.round(share * 100).cast("int").cast("string"), F.lit("% of 5-word phrases shared with source "), number, F.lit(" (limit 15%)"))),
-        ))
+        text = lambda s: F.when(s > most, F.concat(F.round(s * 100).cast("int").cast("string"), F.lit("% of 5-word phrases shared with source "), number, F.lit(" (limit 15%)")))
+        return F.array_compact(F.array(F.when(copied, F.concat(F.lit("12+ word passage copied from source "), number, F.lit(" without quotation marks"))), X.bound(share, text)))
 
-    return result(F.flatten(F.transform(sources, of)))
+    def against(runs: Column) -> Column:
+        return F.flatten(F.transform(sources, lambda s, i: X.bound(words(s), lambda theirs: of(runs["long"], runs["short"], theirs, (i + 1).cast("string")))))
+
+    return _result(X.bound(X.bound(own, lambda w: F.struct(X.shingles(w, run).alias("long"), X.shingles(w, short).alias("short"))), against))
 
 
 def structure(body: Column, title: Column, primary: Column, least: int = 120, most: int = 900) -> Column:
     """A body of 120 to 900 words, a title, and a primary source."""
     n = F.size(F.filter(F.split(F.coalesce(body, F.lit("")), X.SPACE + "+"), lambda w: w != ""))
-    return result(F.array_compact(F.array(
+    return _result(F.array_compact(F.array(
         F.when(n < least, F.lit(f"article under {least} words")), F.when(n > most, F.lit(f"article over {most} words")),
         F.when(F.coalesce(F.trim(title), F.lit("")) == "", F.lit("missing title")), F.when(~F.coalesce(primary, F.lit(False)), F.lit("no primary source")),
     )))

@@ -39,7 +39,7 @@ _NORM = "trim(regexp_replace(translate({0}, '‘’“”–— ', '''''\"\"-- '
 _ADDRESS = """(SELECT *, CASE WHEN q <> '' THEN b || '?' || q ELSE b END AS address FROM (
     SELECT *, sch || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END AS b,
         array_to_string(list_filter(string_split(regexp_extract(body, '\\?(.*)$', 1), '&'),
-            x -> regexp_matches(x, '^[^=]*=.') AND NOT regexp_matches(regexp_extract(x, '^([^=]*)', 1), '^(?:utm_|fbclid|gclid|mc_|ref$|ref_src|cmpid|ito)')), '&') AS q
+            lambda x: regexp_matches(x, '^[^=]*=.') AND NOT regexp_matches(regexp_extract(x, '^([^=]*)', 1), '^(?:utm_|fbclid|gclid|mc_|ref$|ref_src|cmpid|ito)')), '&') AS q
     FROM (SELECT *, lower(regexp_extract(body, '^([^/?]*)', 1)) AS host, regexp_replace(regexp_extract(body, '^[^/?]*([^?]*)', 1), '/+$', '') AS path
     FROM (SELECT *, lower(coalesce(nullif(regexp_extract(trim(url, ' '), '^([A-Za-z][A-Za-z0-9+.\\-]*)://', 1), ''), 'https')) AS sch,
         regexp_replace(regexp_replace(trim(url, ' '), '#(?s:.)*$', ''), '^[A-Za-z][A-Za-z0-9+.\\-]*://', '') AS body FROM {0} WHERE url IS NOT NULL))))"""
@@ -52,7 +52,7 @@ def normalised_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
-_WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), w -> length(w) > 2 AND w NOT IN (" + _STOP + ")))"
+_WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN (" + _STOP + ")))"
 
 
 @query(f"SELECT ord, array_to_string(list_sort({_WORDS.format('title')}), ' ') AS words FROM candidates WHERE title IS NOT NULL")
@@ -138,7 +138,7 @@ def document_roles(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", evidence.source_role(F.col("rights"), F.col("tier")).alias("fetched_as"), F.length(shown).alias("visible_chars"))
 
 
-_RUN = "(SELECT id, unnest(list_distinct(list_transform(range(1, len(w) - {1} + 2), i -> array_to_string(w[i:i + {1} - 1], ' ')))) AS run FROM (SELECT {2} AS id, regexp_extract_all(lower({3}), '[a-z0-9'']+') AS w FROM {0}) WHERE len(w) >= {1})"
+_RUN = "(SELECT id, unnest(list_distinct(list_transform(range(1, len(w) - {1} + 2), lambda i: array_to_string(w[i:i + {1} - 1], ' ')))) AS run FROM (SELECT {2} AS id, regexp_extract_all(lower({3}), '[a-z0-9'']+') AS w FROM {0}) WHERE len(w) >= {1})"
 
 
 def _copied(spark: SparkSession, folder: str, n: int) -> DataFrame:
@@ -174,7 +174,7 @@ def draft_check_statuses(spark: SparkSession, folder: str) -> DataFrame:
     return draft_checks(spark, folder).groupBy("check").pivot("status", ["pass", "warn", "fail"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-_YEARS = "list_distinct(list_transform(regexp_extract_all(' ' || regexp_replace({0}, '([^0-9A-Za-z_])', '\\1 ', 'g') || ' ', '(?:^|[^0-9A-Za-z_])((?:19|20)[0-9][0-9])(?:[^0-9A-Za-z_])', 1), x -> x))"
+_YEARS = "list_distinct(list_transform(regexp_extract_all(' ' || regexp_replace({0}, '([^0-9A-Za-z_])', '\\1 ', 'g') || ' ', '(?:^|[^0-9A-Za-z_])((?:19|20)[0-9][0-9])(?:[^0-9A-Za-z_])', 1), lambda x: x))"
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort({_YEARS.format('text')}), ' ') AS years FROM documents WHERE text IS NOT NULL")
@@ -193,21 +193,21 @@ def relative_dates(spark: SparkSession, folder: str) -> DataFrame:
 _HYPE = ", ".join(f"CASE WHEN regexp_matches(lower(text), '(?:^|[^0-9a-z_-]){w.replace(chr(39), chr(39) * 2)}(?:[^0-9a-z_-]|$)') THEN '{w.replace(chr(39), chr(39) * 2)}' END" for w in X.HYPE_WORDS)
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter([{_HYPE}], x -> x IS NOT NULL), ', ') AS words FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, array_to_string(list_filter([{_HYPE}], lambda x: x IS NOT NULL), ', ') AS words FROM documents WHERE text IS NOT NULL")
 def strong_words(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(X.words_used(F.col("text"), X.HYPE_WORDS), ", ").alias("words"))
 
 
 @query("""SELECT doc_id, len(q) AS quotations, array_to_string(q, ' | ') AS passages FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '["“]([^"”]{12,}?)["”]', 1),
-    x -> regexp_replace(x, '^[ .,]+|[ .,]+$', '', 'g')), x -> len(regexp_split_to_array(trim(x, ' '), '[ \\t\\n\\x0B\\f\\r]+')) >= 3) AS q FROM documents WHERE text IS NOT NULL)""")
+    lambda x: regexp_replace(x, '^[ .,]+|[ .,]+$', '', 'g')), lambda x: len(regexp_split_to_array(trim(x, ' '), '[ \\t\\n\\x0B\\f\\r]+')) >= 3) AS q FROM documents WHERE text IS NOT NULL)""")
 def document_quotations(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", X.quotations(F.col("text")).alias("q"))
     return rows.select("doc_id", F.size("q").alias("quotations"), F.array_join("q", " | ").alias("passages"))
 
 
 @query(f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN n < 120 THEN 'article under 120 words' END, CASE WHEN n > 900 THEN 'article over 900 words' END,
-    CASE WHEN coalesce(trim(title, ' '), '') = '' THEN 'missing title' END, CASE WHEN NOT coalesce(rights IN ('LICENSED', 'PRIMARY_PUBLIC') AND tier <= 2, false) THEN 'no primary source' END], x -> x IS NOT NULL), '; ') AS problems
-    FROM (SELECT *, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_SP}+'), w -> w <> '')) AS n FROM documents)""")
+    CASE WHEN coalesce(trim(title, ' '), '') = '' THEN 'missing title' END, CASE WHEN NOT coalesce(rights IN ('LICENSED', 'PRIMARY_PUBLIC') AND tier <= 2, false) THEN 'no primary source' END], lambda x: x IS NOT NULL), '; ') AS problems
+    FROM (SELECT *, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_SP}+'), lambda w: w <> '')) AS n FROM documents)""")
 def document_structure(spark: SparkSession, folder: str) -> DataFrame:
     primary = F.col("rights").isin(*evidence.READABLE) & (F.col("tier") <= 2)
     return table(spark, folder, "documents").select("doc_id", F.array_join(checks.structure(F.col("text"), F.col("title"), primary)["details"], "; ").alias("problems"))
@@ -246,7 +246,7 @@ def section_fronts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""WITH b AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS r FROM events),
     l AS (SELECT event_type, list(event_id ORDER BY r) AS best FROM b WHERE r <= 4 GROUP BY 1)
-    SELECT e.event_id, array_to_string(list_filter(l.best, x -> x <> e.event_id)[1:3], ' ') AS others FROM events e JOIN l USING (event_type)""")
+    SELECT e.event_id, array_to_string(list_filter(l.best, lambda x: x <> e.event_id)[1:3], ' ') AS others FROM events e JOIN l USING (event_type)""")
 def related_stories(spark: SparkSession, folder: str) -> DataFrame:
     rows = ordering.related(_stories(spark, folder), "event_type", "event_id", [F.desc("ts"), F.col("event_id")], 3)
     return rows.select("event_id", F.array_join(F.transform("others", lambda x: x.cast("string")), " ").alias("others"))
@@ -262,19 +262,20 @@ def newest_day_ledger(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("""SELECT o_orderkey, CAST(l_linenumber AS INTEGER) AS line, l_returnflag AS flag, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_shipdate DESC, l_linenumber) AS INTEGER) AS place
+@query("""SELECT o_orderkey, CAST(l_linenumber AS INTEGER) AS line, l_returnflag AS flag, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_shipdate DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) AS INTEGER) AS place
     FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
 def nested_lines_newest_first(spark: SparkSession, folder: str) -> DataFrame:
     """Lines are gathered into their order's array, newest first, and taken apart again with their places."""
-    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_shipdate", "l_linenumber", "l_returnflag")).alias("lines"))
-    newer = lambda a, b: F.when(a["l_shipdate"] > b["l_shipdate"], -1).when(a["l_shipdate"] < b["l_shipdate"], 1).otherwise(F.signum(a["l_linenumber"] - b["l_linenumber"]).cast("int"))
-    nested = table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.array_sort("lines", newer).alias("lines"))
+    newest = (-F.unix_micros(F.col("l_shipdate").cast("timestamp"))).alias("newest")
+    line = F.struct(newest, "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    nested = table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "lines")
     each = nested.select("o_orderkey", F.posexplode("lines").alias("i", "x"))
     return each.select("o_orderkey", F.col("x.l_linenumber").cast("int").alias("line"), F.col("x.l_returnflag").alias("flag"), (F.col("i") + 1).alias("place"))
 
 
-@query(f"""SELECT event_id, CAST(list_max(list_filter([6, 24, 168, 720], h -> ts + to_hours(h) <= {_NOW})) AS INTEGER) AS mark FROM events
-    WHERE list_max(list_filter([6, 24, 168, 720], h -> ts + to_hours(h) <= {_NOW})) IS NOT NULL""")
+@query(f"""SELECT event_id, CAST(list_max(list_filter([6, 24, 168, 720], lambda h: ts + to_hours(h) <= {_NOW})) AS INTEGER) AS mark FROM events
+    WHERE list_max(list_filter([6, 24, 168, 720], lambda h: ts + to_hours(h) <= {_NOW})) IS NOT NULL""")
 def due_checks(spark: SparkSession, folder: str) -> DataFrame:
     due = monitoring.due_mark(F.col("ts"), F.lit(None).cast("timestamp_ntz"), _now())
     return _stories(spark, folder).select("event_id", due.alias("mark")).where("mark IS NOT NULL")
@@ -417,7 +418,7 @@ def cluster_sections(spark: SparkSession, folder: str) -> DataFrame:
     return each.join(counts, "cluster").select("cluster", "sections", "items")
 
 
-@query("""SELECT ord, array_to_string(list_sort(list_intersect(c.sections_hint, s.sections)), ' ') AS common, len(list_filter(c.sections_hint, x -> NOT list_contains(s.sections, x))) AS added
+@query("""SELECT ord, array_to_string(list_sort(list_intersect(c.sections_hint, s.sections)), ' ') AS common, len(list_filter(c.sections_hint, lambda x: NOT list_contains(s.sections, x))) AS added
     FROM candidates c JOIN sources s ON c.source_id = s.id WHERE c.sections_hint IS NOT NULL""")
 def section_hints(spark: SparkSession, folder: str) -> DataFrame:
     sources = table(spark, folder, "sources").select(F.col("id").alias("source_id"), "sections")
@@ -425,7 +426,7 @@ def section_hints(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("ord", F.array_join(F.array_sort(F.array_intersect("sections_hint", "sections")), " ").alias("common"), F.size(F.array_except("sections_hint", "sections")).alias("added"))
 
 
-@query(f"SELECT doc_id, CAST(greatest(1, round_even(len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_SP}+'), w -> w <> '')) / 220.0, 0)) AS INTEGER) AS minutes FROM documents")
+@query(f"SELECT doc_id, CAST(greatest(1, round_even(len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_SP}+'), lambda w: w <> '')) / 220.0, 0)) AS INTEGER) AS minutes FROM documents")
 def reading_times(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", X.reading_minutes(F.col("text")).alias("minutes"))
 

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """A stream of the files at path, with the schema of like."""
-    return spark.readStream.schema(like.schema).parquet(path)
+    """A stream of the file, or the files of the folder, at path, with the schema of like."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return spark.readStream.schema(like.schema).parquet(path)
+    folder, _, name = path.rpartition("/")
+    return spark.readStream.schema(like.schema).option("pathGlobFilter", name).parquet(folder)
 
 
 def first_within(stream: DataFrame, key: str, time: str, ttl: str = "60 days") -> DataFrame:
