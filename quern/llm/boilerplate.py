@@ -176,10 +176,10 @@ class Phrases:
     """How often a phrase, or a container's name, belongs to articles."""
 
     def __init__(self):
-        self.sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0])
+        self.sums: dict[str, list[float]] = {}
 
     def add(self, key: str, y: float) -> None:
-        s = self.sums[key]
+        s = self.sums.setdefault(key, [0.0, 0])
         s[0] += y
         s[1] += 1
 
@@ -329,7 +329,6 @@ def train(sources: list[str]) -> Model:
     y = np.concatenate([y for _ in range(3) for _, y in ready])
     slim = Phrases()
     slim.sums = {k: v for k, v in phrases.sums.items() if v[1] >= 2}
-    names.sums = dict(names.sums)
     return Model(slim, names, BoostedTrees().fit(x, y))
 
 

@@ -51,7 +51,7 @@ _THAI_GOES_ON = (
 _THAI_NO_END = "เพิ่ม|ลด|ดร\\.|นาย|นาง|นางสาว|ชื่อ|โครงการ"
 
 _CLOSE = "[\"'”’»“‘›)\\]}]"
-_KINDS = (r"[•‣▪●◦*\-]\s", r"[–—]\s", r"\d{1,3}[.)]\s", r"[QA][.:]\s")
+_KINDS = (r"[•‣▪●◦*\-]\s", r"[–—]\s", r"\d{1,3}[.)]\s", rf"[QA][.:{_MASK}]\s")
 _ITEM = rf"(?:#{{1,6}}\s|{'|'.join(_KINDS)})"
 
 
@@ -93,7 +93,7 @@ def _items(part: Column) -> Column:
 
 
 # A lambda's variable is worked out once, an expression once for every use; so each of these is a lambda of its own.
-_BEGINS = r"(?![\p{Ll},;:.!?)\]}»”…]|[—–-]\s*\p{Ll}|\[(?:…|\.\.\.)\])"
+_BEGINS = r"(?![\p{Ll},;:.!?)\]}»”…]|[—–-][\s\p{Ll}\d]|\((?![^()]{0,400}[.!?][\"”’]*\))|\[(?:…|\.\.\.)\])"
 _SPACED = rf"([.!?؟…‽]+{_CLOSE}*(?:[\s\u00a0\u202f]?»)?|(?<=\p{{IsGreek}})[;\u037e]{_CLOSE}*)(?=\s+{_BEGINS}\S)"
 _FULL = r"([。！？｡]+[」』”’）)》〉]+(?!と|って|など|、|，)|[。！？｡]+(?![」』”’）)》〉。！？｡])|[।॥۔]+[\"'”’)]*)"
 _THAI = (

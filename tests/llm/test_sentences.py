@@ -3,13 +3,13 @@ import pytest
 from quern.llm.sentences import split_sentences
 
 CASES = [
-    "The first bus leaves at 6 a.m.|The last returns before midnight.|At 7.45 a.m. on 16 Sept., Dr. J. K. Sadrode Jr. paid €1.5m, i.e. more, to X Ltd. of Y.|It worked!",
+    "The first bus leaves at 6 a.m.|The last returns before midnight.|At 7.45 a.m. on 16 Sept., Dr. J. K. Sadrode Jr. paid €1.5m, i.e. more, to Kova Ltd. of Yard.|It worked!",
     "“We started small.|Now we reach 4 towns,” said Prof. Gobila.|“Will it last?” asked one resident.|Nobody had tried it before… and yet it worked.|Could others?!|(See p. 11.)|See www.a.example/v2.5/t.csv for it.",
     "## A heading. With two parts|The text\nwraps here.|And goes on.",
     "Q. What changed? Much?|A. In May, a lot. Really.",
     "• 37.3% of sites. Still|• Next review on 3 April",
     "1. Kosten: 37,0 Mio. Euro|2. 3.821 Haushalte",
-    "Das gilt bis zum\n22. Januar z. B. bei Nr. 5 in X.|Der Verein X e. V. zählte ca. 3 Nester.|„Wir fingen klein an.|Heute sind es 7“, sagte Frau Y.",
+    "Das gilt bis zum\n22. Januar z. B. bei Nr. 5 in Hafen.|Der Verein Kova e. V. zählte ca. 3 Nester.|„Wir fingen klein an.|Heute sind es 7“, sagte Frau Y.",
     "« Nous étions peu.|Nous sommes 379 », raconte le Dr Hujebu.|Ça marche !|« Est-ce que cela va durer ? » demande une habitante.|Selon l'art. 6, c.-à-d. plus.",
     "—¿Va a durar? —preguntó una vecina.|¡Funciona!|La Sra. X fijó la meta (pág. 4).",
     "«Надолго ли?» — спросила жительница.|Обучено 687 чел. за 6 мес.|Цель на 2027 г. — 18 %.|А. Mikoji и др. тоже помогли.",

@@ -17,6 +17,7 @@ def corpus(n=1500, seed=1):
         if i % 3 == 0:
             text += f"\n\nContact: Kova {rng.choice(['Rail', 'Water'])} Office press desk"
         elif i % 5 == 0:
+            text += " " + SENTENCES[0].replace("{n}", "77")
             at = rng.randint(20, len(text) - 12)
             while text[at - 1] in ' .,?”' or text[:at].rstrip().endswith((".", "?", "”")) or at > len(text) - 4:
                 at -= 1
