@@ -32,7 +32,7 @@ def read_front_matter(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"(?m)^---\s*$", 3).alias("p"))
     head = F.when(F.size("p") == 3, F.get("p", F.lit(1)))
     body = F.when(F.size("p") == 3, F.get("p", F.lit(2))).otherwise(F.get("p", F.lit(0)))
-    return rows.select("path", F.arrow_udf(_fronts, T.MapType(T.StringType(), T.StringType()))(head).alias("meta"), F.trim(body).alias("body"))
+    return rows.select("path", F.arrow_udf(_fronts, T.MapType(T.StringType(), T.StringType()))(head).alias("meta"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"))
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
