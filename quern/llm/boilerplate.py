@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.trees import BoostedTrees
+from quern.session import spread
 
 #: Training pages: those whose identifiers have the smallest hashes.
 SAMPLE = 1500
@@ -333,7 +334,8 @@ def train(sources: list[str]) -> Model:
 
 
 def article_blocks(pages: DataFrame, ident: str = "page_id", source: str = "html", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """ident, block_no of every block of every page that belongs to the article. No shuffle: pages stay where they are."""
+    """ident, block_no of every block of every page that belongs to the article. Pages stay where they are, unless the
+    table has fewer partitions than there are cores."""
     spark = pages.sparkSession
     rows = pages.select(F.col(f"`{ident}`").alias("ident"), F.col(f"`{source}`").alias("html"), F.col(f"`{text}`").alias("text")).where((F.length("html") > 0) & (F.length("text") > 0))
     chosen = [r[0] for r in rows.select("ident").orderBy(F.xxhash64("ident"), "ident").limit(sample).collect()]
@@ -358,4 +360,4 @@ def article_blocks(pages: DataFrame, ident: str = "page_id", source: str = "html
             yield pa.record_batch([pa.array(ids, batch.schema.field("ident").type), pa.array(numbers, pa.int32())], ["ident", "block_no"])
 
     kind = rows.schema["ident"].dataType.simpleString()
-    return rows.mapInArrow(chosen_blocks, f"ident {kind}, block_no INT").withColumnRenamed("ident", ident)
+    return spread(rows).mapInArrow(chosen_blocks, f"ident {kind}, block_no INT").withColumnRenamed("ident", ident)

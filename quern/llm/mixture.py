@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.tokenizer import TOKENIZERS, token_count
-from quern.session import Scratch
+from quern.session import Scratch, spread
 
 SEED = 20260112
 #: The default mix has at least this part of the tokens of the listed sources, though small sources miss their share.
@@ -68,8 +68,8 @@ class Mix:
                  tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, seed: int = SEED, total: int | None = None):
         spark, self.seed, self.ident = documents.sparkSession, seed, ident
         scratch = Scratch(spark, "mixture")
-        tokens = token_count(spark, text, tokenizer, folder)
-        sized = documents.select(F.col(f"`{ident}`").alias("ident"), F.col(f"`{source}`").alias("source"), tokens.alias("tokens"))
+        rows = spread(documents.select(F.col(f"`{ident}`").alias("ident"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")))
+        sized = rows.select("ident", "source", token_count(spark, "text", tokenizer, folder).alias("tokens"))
         # Texts are encoded once; the counts serve the sums and the choice.
         self.sized = scratch.write(sized, "sized")
         wanted = targets.select("source", "weight", "max_repeats")

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import spread
+
 _MASK, _SEP, _KEPT = "", "", ""
 
 # Abbreviations that something follows in the same sentence, even if it has a capital letter or is a digit.
@@ -143,8 +145,10 @@ def sentence_spans(text: Column) -> Column:
 
 
 def split_sentences(df: DataFrame, ident: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """ident, start_pos, end_pos (and the unit) of every sentence unit of every row. Rows stay where they are: no shuffle."""
-    col = F.col(f"`{text}`")
-    rows = df.where(col.isNotNull()).select(F.col(f"`{ident}`"), *([col.alias("__text")] if with_text else []), F.explode(sentence_spans(col)).alias("span"))
+    """ident, start_pos, end_pos (and the unit) of every sentence unit of every row. There is no shuffle, unless the table
+    has fewer partitions than there are cores."""
+    col = F.col("__text")
+    rows = spread(df.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{ident}`"), F.col(f"`{text}`").alias("__text")))
+    rows = rows.select(F.col(f"`{ident}`"), *([col] if with_text else []), F.explode(sentence_spans(col)).alias("span"))
     unit = [F.substring("__text", F.col("span.start_pos") + 1, F.col("span.end_pos") - F.col("span.start_pos")).alias("unit")] if with_text else []
     return rows.select(F.col(f"`{ident}`"), "span.start_pos", "span.end_pos", *unit)

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.session import spread
+
 #: Where the rank files lie; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the pattern that cuts text into words before the merges of the byte-level vocabularies.
@@ -188,5 +190,6 @@ def token_count(spark: SparkSession, text: Column | str, name: str = "byte_bpe_5
 
 
 def encode_corpus(df: DataFrame, ident: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """ident and ids of every row of df. Rows are neither moved nor sorted: there is no shuffle."""
-    return df.select(F.col(f"`{ident}`"), token_ids(df.sparkSession, text, name, folder).alias("ids"))
+    """ident and ids of every row of df. There is no shuffle, unless the table has fewer partitions than there are cores."""
+    rows = spread(df.select(F.col(f"`{ident}`"), F.col(f"`{text}`").alias("__text")))
+    return rows.select(F.col(f"`{ident}`"), token_ids(df.sparkSession, "__text", name, folder).alias("ids"))
