@@ -11,7 +11,7 @@ from quern.functions import text as X
 from quern.functions.html import page_extract
 from quern.functions.url import domain, feed_address
 from quern.operators import audit, checks, discovery, evidence, monitoring, ordering, publication, series
-from quern.session import Scratch
+from quern.session import Scratch, spread
 from quern.streaming import feeds as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -353,7 +353,8 @@ def page_links(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def page_texts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "pages").where("length(html) > 0").select("page_id", page_extract(F.col("html"), F.col("url")).alias("x"))
+    pages = spread(table(spark, folder, "pages").where("length(html) > 0").select("page_id", "html", "url"))
+    rows = pages.select("page_id", page_extract(F.col("html"), F.col("url")).alias("x"))
     return rows.select("page_id", "x.text", "x.title", F.size("x.links").alias("links"))
 
 

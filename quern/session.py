@@ -37,6 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that takes long per row: moved to as many partitions as there are cores where the table has fewer, as
+    a small one in a single file has. Large tables have more partitions than that and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Scratch:
     """Tables written below shared_dir to cut lineage.
 
