@@ -9,7 +9,7 @@ makes a union-find forest of the records. A step takes one or more new batches,
    log-odds weights, learned from the first step's own agreements and value frequencies and then kept; a pair with a
    positive score is checked exactly: equal ids, or addresses of one page;
 4. a linked record gets the smallest of its matches as parent; where it joins two records, the later one gets the
-   earlier as parent. So only clusters that a step touches change; find() compresses the paths.
+   earlier as parent. So a step only adds edges; find() gives the components of all edges.
 
 A step appends its keys and parents in folders of their own, and counts once its entry in the log is written, so a
 step that was cut off is done again. A key that holds a large share of the records is reduced before any shuffle, and
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.url import page_address
+from quern.llm.components import connected_components
 from quern.operators.skew import hot_keys, join_small_per_key
 from quern.session import Scratch
 
@@ -158,20 +159,10 @@ class LinkStore:
             weights[field] = {"agree": agree, "differ": min(0.0, differ), "m": m, "u": u}
         return weights
 
-    def find(self, most: int = 60) -> DataFrame:
-        """node, root of every record with a parent: the forest's paths, halved until all are flat."""
-        scratch = Scratch(self.spark, "find")
-        table = scratch.write(self.parents().groupBy("node").agg(F.min("parent").alias("root")), "0")
-        # A record may have had several parents; the other ones share its root too.
-        extra = self.parents().join(table, "node").where(F.col("parent") != F.col("root")).select(F.col("parent").alias("node"), "root")
-        table = scratch.write(table.unionByName(extra.where(F.col("node") > F.col("root"))).groupBy("node").agg(F.min("root").alias("root")), "1")
-        for k in range(2, most):
-            up = table.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            table = scratch.write(table.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), str(k))
-            if not table.where("moved").take(1):
-                return table.select("node", "root")
-            table = table.select("node", "root")
-        raise RuntimeError("paths are longer than 2^58")
+    def find(self) -> DataFrame:
+        """node, root of every record with a parent. All edges count: a record may have had several parents, in several steps,
+        and those share its root, however far above."""
+        return connected_components(self.parents(), "node", "parent").where(F.col("root") < F.col("node"))
 
 
 def history_records(seen: DataFrame) -> DataFrame:

@@ -40,6 +40,16 @@ def test_later_runs_use_what_is_stored(spark, tmp_path):
     assert {r.node: r.root for r in store.find().where("node >= 0").collect()} | {5: 0} == {2: 1, 3: 1, 5: 0, 9: 8, 10: 8}
 
 
+def test_every_parent_of_a_record_counts(spark, tmp_path):
+    rows = [(0, "y", None), (1, "z", "https://x.example/B"), (2, "x", "https://x.example/B"), (3, "y", "https://x.example/A"), (4, "x", "https://x.example/A")]
+    df = spark.createDataFrame(rows, "node BIGINT, id STRING, url STRING")
+    for name, steps in (("once", ["node >= 0"]), ("singly", [f"node = {k}" for k in range(5)])):
+        store = LinkStore(spark, f"file://{tmp_path}/{name}")
+        for part in steps:
+            store.add(df.where(part))
+        assert {r.node: r.root for r in store.find().collect()} == {1: 0, 2: 0, 3: 0, 4: 0}, name
+
+
 def test_a_step_that_was_cut_off_is_done_again(spark, tmp_path):
     folder = f"file://{tmp_path}/store"
     store = LinkStore(spark, folder)
