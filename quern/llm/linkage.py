@@ -36,6 +36,8 @@ FIELDS = ("id", "address", "site")
 #: Bounds of the weights, least for agreeing and for differing, so that neither little data nor a very frequent value can
 #: outvote an identifying field that agrees; and the most that a mere site counts.
 LEAST_AGREE, LEAST_DIFFER, MOST_SITE = 3.0, {"id": -2.0, "address": -2.0, "site": -0.5}, 1.0
+#: Weights of steps before any can be learned.
+UNLEARNED = {f: {"agree": 0.0 if f == "site" else LEAST_AGREE, "differ": LEAST_DIFFER[f]} for f in FIELDS}
 #: Batches that p6_found takes in one step; a step has a fixed cost of a few jobs.
 BATCHES_PER_STEP = 10
 
@@ -121,7 +123,7 @@ class LinkStore:
             if weights is not None:
                 self.weights = weights
                 self._put("weights.json", weights)
-        score = sum((F.when(F.col(f) == 1, F.lit(w["agree"])).when(F.col(f) == 0, F.lit(w["differ"])).otherwise(F.lit(0.0)) for f, w in (self.weights or {}).items()), F.lit(0.0))
+        score = sum((F.when(F.col(f) == 1, F.lit(w["agree"])).when(F.col(f) == 0, F.lit(w["differ"])).otherwise(F.lit(0.0)) for f, w in (self.weights or UNLEARNED).items()), F.lit(0.0))
         exact = F.coalesce(F.col("id") == 1, F.lit(False)) | F.coalesce(F.col("address") == 1, F.lit(False))
         matched = agreed.where((score > 0) & exact).groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high"))
         edges = F.array_compact(F.array(

@@ -50,6 +50,12 @@ def test_every_parent_of_a_record_counts(spark, tmp_path):
         assert {r.node: r.root for r in store.find().collect()} == {1: 0, 2: 0, 3: 0, 4: 0}, name
 
 
+def test_ids_without_any_address(spark):
+    seen = spark.createDataFrame([("h1", None, None)], SEEN)
+    df = spark.createDataFrame([(1, 1, None, "H1", "k", 1), (2, 1, " ", "aa", "k", 1), (3, 1, None, "AA", "k", 1), (4, 1, None, "bb", "k", 1)], ROWS)
+    assert sorted(r.ord for r in repeated_rows(seen, df).collect()) == [1, 3]
+
+
 def test_a_step_that_was_cut_off_is_done_again(spark, tmp_path):
     folder = f"file://{tmp_path}/store"
     store = LinkStore(spark, folder)
