@@ -6,8 +6,9 @@ makes a union-find forest of the records. A step takes one or more new batches,
 1. its records give blocking keys: id, page address, and a loose address (letter case and section ignored);
 2. the keys are reduced to one row each, then probed in the stored keys; neither history nor records are read again;
 3. each record is compared with the first record of each of its keys, field by field. The agreements are scored with
-   log-odds weights, learned from the first step's own agreements and value frequencies and then kept; a pair with a
-   positive score is checked exactly: equal ids, or addresses of one page;
+   log-odds weights, learned from agreements and value frequencies of the first step that has pairs of equal id or
+   address, and then kept; a pair with a positive score is checked exactly: equal ids, or addresses of one page. The
+   bounds of the weights make the score of every pair that is exactly alike positive, so the exact test decides;
 4. a linked record gets the smallest of its matches as parent; where it joins two records, the later one gets the
    earlier as parent. So a step only adds edges; find() gives the components of all edges.
 
@@ -34,7 +35,7 @@ from quern.session import Scratch
 
 FIELDS = ("id", "address", "site")
 #: Bounds of the weights, least for agreeing and for differing, so that neither little data nor a very frequent value can
-#: outvote an identifying field that agrees; and the most that a mere site counts.
+#: outvote an identifying field that agrees; and the most that a mere site counts, which never counts against a pair.
 LEAST_AGREE, LEAST_DIFFER, MOST_SITE = 3.0, {"id": -2.0, "address": -2.0, "site": -0.5}, 1.0
 #: Weights of steps before any can be learned.
 UNLEARNED = {f: {"agree": 0.0 if f == "site" else LEAST_AGREE, "differ": LEAST_DIFFER[f]} for f in FIELDS}
@@ -137,17 +138,20 @@ class LinkStore:
         scratch.drop()
 
     def _learn(self, probed: DataFrame, agreed: DataFrame) -> dict | None:
-        """Log-odds weights. m: how often a field agrees where another proves the match; u: how often it agrees by chance.
+        """Log-odds weights, or None if the step has no address or no proven match (equal ids or addresses).
+        m: how often a field agrees where another proves the match; u: how often it agrees by chance.
 
         Both come from counts over all of the step's data: at most 27 patterns, and sums of squared value frequencies.
         """
+        patterns = agreed.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n")).collect()
+        if not any(p["id"] == 1 or p["address"] == 1 for p in patterns):
+            return None
         kind = F.substring("key", 1, 1)
         n = F.col("n").cast("double")
         freq = {r[0]: (r[1], r[2]) for r in probed.groupBy(kind.alias("kind")).agg(F.sum(n), F.sum(n * n)).collect()}
-        sites = probed.where(kind == "a").groupBy(F.regexp_extract("key", r"^a:([^/?]*)", 1)).agg(F.sum(n).alias("n")).agg(F.sum("n"), F.sum(n * n)).first()
-        patterns = agreed.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n")).collect()
-        if not patterns or "a" not in freq:
+        if "a" not in freq:
             return None
+        sites = probed.where(kind == "a").groupBy(F.regexp_extract("key", r"^a:([^/?]*)", 1)).agg(F.sum(n).alias("n")).agg(F.sum("n"), F.sum(n * n)).first()
         chance = {"id": freq.get("i", (0, 0)), "address": freq["a"], "site": (sites[0], sites[1])}
         weights = {}
         for field, proof in (("id", "address"), ("address", "id"), ("site", "id")):
@@ -157,7 +161,7 @@ class LinkStore:
             total, squares = chance[field]
             u = min(0.5, (squares + 1) / (total * total + 2)) if total else 0.5
             agree, differ = math.log(m / u), max(LEAST_DIFFER[field], math.log((1 - m) / (1 - u)))
-            agree = min(MOST_SITE, agree) if field == "site" else max(LEAST_AGREE, agree)
+            agree = min(MOST_SITE, max(0.0, agree)) if field == "site" else max(LEAST_AGREE, agree)
             weights[field] = {"agree": agree, "differ": min(0.0, differ), "m": m, "u": u}
         return weights
 

@@ -56,6 +56,21 @@ def test_ids_without_any_address(spark):
     assert sorted(r.ord for r in repeated_rows(seen, df).collect()) == [1, 3]
 
 
+def test_weights_wait_for_proven_matches(spark, tmp_path):
+    store = LinkStore(spark, f"file://{tmp_path}/store")
+    store.add(history_records(spark.createDataFrame([("h1", "https://x.example/a", None), ("h2", "https://x.example/A", None)], SEEN)))
+    assert store.weights is None  # a pair by the loose address proves nothing
+    store.add(spark.createDataFrame([(k, f"i{k % 5}", f"https://x.example/p{k % 5}") for k in range(20)], "node BIGINT, id STRING, url STRING"))
+    assert store.weights["id"]["m"] > 0.9 and store.weights["address"]["m"] > 0.9
+    assert LinkStore(spark, store.folder).weights == store.weights
+
+
+def test_a_site_that_agrees_counts_nothing_against_a_pair(spark):
+    seen = spark.createDataFrame([("h%d" % (k // 2), f"https://{'xy'[k % 2]}.example/h{k}", None) for k in range(400)], SEEN)  # equal ids on two sites
+    df = spark.createDataFrame([(1, 1, "https://x.example/a", None, "k", 1), (2, 1, "https://x.example/a#top", None, "k", 1)], ROWS)
+    assert [r.ord for r in repeated_rows(seen, df).collect()] == [2]
+
+
 def test_a_step_that_was_cut_off_is_done_again(spark, tmp_path):
     folder = f"file://{tmp_path}/store"
     store = LinkStore(spark, folder)
