@@ -204,14 +204,13 @@ def find_truncated(parts: Sequence[tuple[DataFrame, str, str, str, str]]) -> Dat
     table = table.join(n2.select(F.col("h2").alias("before2"), F.col("n").alias("c2")), "before2", "left").join(n1.select(F.col("h1").alias("before1"), F.col("n").alias("c1")), "before1", "left")
 
     fair = lambda k: (F.col(f"e{k}") >= LEAST) & (F.col(f"e{k}") >= USUAL * F.col(f"n{k}"))
-    # Only a word that ends in a letter, or in a bracket opened before it, can be a broken one.
-    kind = F.col("k3") % 8
-    whole_word = kind.isin(STOP, WHOLE_IN)
-    follows = lambda k, before: whole_word | (F.col(f"e{k}") >= FOLLOWS * F.coalesce(F.col(before), F.lit(0)))
-    # A word that stands inside texts isn't a broken one; a mark of a kind says too little alone.
+    # A word that stands inside texts and, often enough, at ends isn't a broken one; a mark of a kind says too little alone.
+    # Nor is one broken that ends in a stop or in a bracket of its own. Others must be usual behind the words before them.
     mark = reduce(lambda a, b: a | b, [F.col("h1") == F.xxhash64(F.lit(x)) for x in "0XU"])
     known = ~mark & (F.col("i1") >= KNOWN) & (F.col("t1") >= WHOLE * (F.col("i1") + F.col("t1")))
-    classes = fair(0) | ~whole_word & known
+    whole_word = (F.col("k3") % 8).isin(STOP, WHOLE_IN)
+    follows = lambda k, before: whole_word | known | (F.col(f"e{k}") >= FOLLOWS * F.coalesce(F.col(before), F.lit(0)))
+    classes = F.when(whole_word, fair(0)).otherwise(known)
     alone = F.col("before1").isNull()
     seen3, seen2 = ~alone & (F.col("n3") >= SEEN), ~alone & (F.col("n2") >= SEEN)
     usual = F.when(seen3, fair(3) & follows(3, "c2")).when(seen2, fair(2) & follows(2, "c1")).otherwise(classes)
