@@ -3,12 +3,14 @@
 A LinkStore keeps, in a folder, a table of blocking keys with the first record of each key, and a table of parents that
 makes a union-find forest of the records. A step takes one or more new batches, in order of arrival:
 
-1. its records give blocking keys: id, page address, and a loose address (letter case and section ignored);
-2. the keys are reduced to one row each, then probed in the stored keys; neither history nor records are read again;
-3. each record is compared with the first record of each of its keys, field by field. The agreements are scored with
-   log-odds weights, learned from agreements and value frequencies of the first step that has pairs of equal id or
-   address, and then kept; a pair with a positive score is checked exactly: equal ids, or addresses of one page. The
-   bounds of the weights make the score of every pair that is exactly alike positive, so the exact test decides;
+1. its records give the fields id, site, path and article parameters, and three blocking keys: id, whole address, and
+   address without parameters. Fields and keys are hashes of 64 bits, so nothing longer is ever shuffled or stored; a key
+   and the fields behind it have hashes of their own;
+2. the keys are reduced to one row each, then probed in the stored keys. The records of history aren't read again;
+3. each record is compared with the first record of each of its keys, field by field. Agreeing and differing fields have
+   weights, and a pair with a positive score is a match: nothing else decides. The weights are learned by logistic
+   regression on the patterns of agreement of all pairs so far, at most 81 patterns with their counts, from pairs proven
+   to be matches (equal ids, or all parts of the address equal) and the others; a prior of a few pairs starts it;
 4. a linked record gets the smallest of its matches as parent; where it joins two records, the later one gets the
    earlier as parent. So a step only adds edges; find() gives the components of all edges.
 
@@ -23,46 +25,61 @@ rows with the same record number are one record. An empty batch changes nothing.
 from __future__ import annotations
 
 import json
-import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.url import page_address
+from quern.functions.url import page_address, page_parts
 from quern.llm.components import connected_components
 from quern.operators.skew import hot_keys, join_small_per_key
 from quern.session import Scratch
 
-FIELDS = ("id", "address", "site")
-#: Bounds of the weights, least for agreeing and for differing, so that neither little data nor a very frequent value can
-#: outvote an identifying field that agrees; and the most that a mere site counts, which never counts against a pair.
-LEAST_AGREE, LEAST_DIFFER, MOST_SITE = 3.0, {"id": -2.0, "address": -2.0, "site": -0.5}, 1.0
-#: Weights of steps before any can be learned.
-UNLEARNED = {f: {"agree": 0.0 if f == "site" else LEAST_AGREE, "differ": LEAST_DIFFER[f]} for f in FIELDS}
+FIELDS = ("id", "site", "path", "query")
+#: Pairs that are taken as seen before any other, as (agreement of FIELDS, match): an id, or a whole address, proves a page.
+PRIOR = [((1, None, None, None), 1), ((1, 0, 0, 0), 1), ((None, 1, 1, 1), 1), ((0, 1, 1, 1), 1), ((0, 1, 1, 0), 0), ((None, 1, 0, 1), 0), ((0, 0, 1, 1), 0)]
 #: Batches that p6_found takes in one step; a step has a fixed cost of a few jobs.
 BATCHES_PER_STEP = 10
+_FIRST = "node: BIGINT, id: BIGINT, site: BIGINT, path: BIGINT, query: BIGINT"
 
 
 def _fields(records: DataFrame) -> DataFrame:
-    """node, id, address, site, of records with node, id, url."""
+    """node, and id, site, path, query as hashes, of records with node, id, url."""
     ident = F.lower(F.trim("id"))
-    rows = records.select("node", F.when(ident != "", ident).alias("id"), page_address(F.col("url")).alias("address"))
-    return rows.withColumn("site", F.regexp_extract("address", r"^([^/?]*)", 1)).where(F.col("node").isNotNull())
+    part = page_parts(F.col("url"))
+    rows = records.where(F.col("node").isNotNull()).select("node", F.when(ident != "", F.xxhash64(ident)).alias("id"), *[v.alias(k) for k, v in part.items()])
+    some = F.concat("site", "path", "query") != ""
+    return rows.select("node", "id", *[F.when(some, F.xxhash64(F.lit(k), F.col(k))).alias(k) for k in part])
 
 
 def _keys(rows: DataFrame) -> DataFrame:
-    loose = F.lower(F.concat_ws("|", "site", F.regexp_extract("address", r"([^/]*)$", 1)))
-    all_keys = F.array_compact(F.array(F.concat(F.lit("i:"), "id"), F.concat(F.lit("a:"), "address"), F.when(F.col("address").isNotNull(), F.concat(F.lit("l:"), loose))))
-    return rows.select(F.explode(all_keys).alias("key"), "node", "id", "address")
-
-
-def _agreement(a: Column, b: Column) -> Column:
-    """1, 0, or null where either side lacks the field."""
-    return (a == b).cast("tinyint")
+    page = F.col("site").isNotNull()
+    keys = [F.when(F.col("id").isNotNull(), F.xxhash64(F.lit("i"), "id")), F.when(page, F.xxhash64(F.lit("a"), "site", "path", "query")), F.when(page, F.xxhash64(F.lit("p"), "site", "path"))]
+    return rows.select(F.explode(F.array_compact(F.array(*keys))).alias("key"), "node", *FIELDS)
+
+
+def learn(patterns: dict[tuple, int]) -> tuple[float, dict[str, dict[str, float]]]:
+    """Bias, and weights of agreeing and differing fields, from counts of agreement patterns (1, 0 or None per field).
+
+    Logistic regression on PRIOR and the patterns, each with the logarithm of its count as its weight; then single
+    corrections until every pattern is on its own side, which is always possible.
+    """
+    cases = [(a, m, 1.0) for a, m in PRIOR] + [(a, int(a[0] == 1 or a[1:] == (1, 1, 1)), 1.0 + float(np.log1p(n))) for a, n in sorted(patterns.items(), key=str)]
+    x = np.array([[1.0] + [float(v == side) for v in a for side in (1, 0)] for a, _, _ in cases])
+    y, c = np.array([m for _, m, _ in cases], float), np.array([c for *_, c in cases])
+    w = np.zeros(x.shape[1])
+    for _ in range(3000):
+        w += 0.5 * (x.T @ (c * (y - 1 / (1 + np.exp(-(x @ w))))) - 0.002 * w) / c.sum()
+    for _ in range(100_000):
+        wrong = np.flatnonzero((x @ w > 0.1) != (y > 0.5)) if (y > 0.5).any() else np.zeros(0, int)
+        if not len(wrong):
+            break
+        w += 0.1 * (2 * y[wrong[0]] - 1) * x[wrong[0]]
+    return float(w[0]), {f: {"agree": float(w[1 + 2 * k]), "differ": float(w[2 + 2 * k])} for k, f in enumerate(FIELDS)}
 
 
 class LinkStore:
-    """Blocking keys, parents and weights of all records so far."""
+    """Blocking keys, parents and patterns of agreement of all records so far."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -70,7 +87,14 @@ class LinkStore:
         self.fs = self._fs_path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
         done = self._fs_path(f"{self.folder}/log")
         self.steps = sorted(int(str(x.getPath().getName())) for x in self.fs.listStatus(done)) if self.fs.exists(done) else []
-        self.weights: dict | None = self._get("weights.json")
+        self.patterns: dict[tuple, int] = {}
+        for step in self.steps:
+            self._count(self._get(f"log/{step}")["patterns"])
+        self.bias, self.weights = learn(self.patterns)
+
+    def _count(self, found: list) -> None:
+        for agreement, n in found:
+            self.patterns[tuple(agreement)] = self.patterns.get(tuple(agreement), 0) + n
 
     def _get(self, name: str):
         path = self._fs_path(f"{self.folder}/{name}")
@@ -95,7 +119,7 @@ class LinkStore:
 
     def keys(self) -> DataFrame:
         """key, first: the first record of every key."""
-        return self._table("keys", "key STRING, first STRUCT<node: BIGINT, id: STRING, address: STRING>")
+        return self._table("keys", f"key BIGINT, first STRUCT<{_FIRST}>")
 
     def parents(self) -> DataFrame:
         """node, parent, direct (node itself matched, in its own step)."""
@@ -107,64 +131,29 @@ class LinkStore:
         scratch = Scratch(self.spark, "link")
         rows = _fields(records)
         keys = _keys(rows)
-        own = keys.groupBy("key").agg(F.min(F.struct("node", "id", "address")).alias("own"), F.count(F.lit(1)).alias("n"))
+        own = keys.groupBy("key").agg(F.min(F.struct("node", *FIELDS)).alias("own"), F.count(F.lit(1)).alias("n"))
         known = self.keys().withColumnRenamed("first", "stored")
         probed = own.join(known, "key", "left") if self.steps else own.withColumn("stored", F.when(F.lit(False), F.col("own")))
         probed = scratch.write(probed.select("key", "n", F.coalesce("stored", "own").alias("first"), F.col("stored").isNull().alias("fresh")), "probed")
         hot = hot_keys(probed, "key", "n")
         pairs = join_small_per_key(keys, probed.select("key", "first"), "key", hot).where(F.col("first.node") < F.col("node"))
-        site = lambda x: F.regexp_extract(x, r"^([^/?]*)", 1)
-        agreed = pairs.select(
-            "node", F.col("first.node").alias("other"), _agreement(F.col("id"), F.col("first.id")).alias("id"),
-            _agreement(F.col("address"), F.col("first.address")).alias("address"), _agreement(site(F.col("address")), site(F.col("first.address"))).alias("site"),
-        )
+        agreed = pairs.select("node", F.col("first.node").alias("other"), *[(F.col(f) == F.col(f"first.{f}")).cast("int").alias(f) for f in FIELDS])
         agreed = scratch.write(agreed, "agreed")
-        if self.weights is None:
-            weights = self._learn(probed, agreed)
-            if weights is not None:
-                self.weights = weights
-                self._put("weights.json", weights)
-        score = sum((F.when(F.col(f) == 1, F.lit(w["agree"])).when(F.col(f) == 0, F.lit(w["differ"])).otherwise(F.lit(0.0)) for f, w in (self.weights or UNLEARNED).items()), F.lit(0.0))
-        exact = F.coalesce(F.col("id") == 1, F.lit(False)) | F.coalesce(F.col("address") == 1, F.lit(False))
-        matched = agreed.where((score > 0) & exact).groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high"))
+        found = [(tuple(r[f] for f in FIELDS), r["n"]) for r in agreed.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n")).collect()]  # at most 81 rows
+        self._count(found)
+        self.bias, self.weights = learn(self.patterns)
+        score = sum((F.when(F.col(f) == 1, F.lit(w["agree"])).when(F.col(f) == 0, F.lit(w["differ"])).otherwise(F.lit(0.0)) for f, w in self.weights.items()), F.lit(self.bias))
+        matched = agreed.where(score > 0).groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high"))
         edges = F.array_compact(F.array(
             F.struct("node", F.col("low").alias("parent"), F.lit(True).alias("direct")),
             F.when(F.col("high") > F.col("low"), F.struct(F.col("high").alias("node"), F.col("low").alias("parent"), F.lit(False).alias("direct"))),
         ))
         matched.select(F.inline(edges)).write.mode("overwrite").parquet(f"{self.folder}/parents/{step}")
         probed.where("fresh").select("key", "first").write.mode("overwrite").parquet(f"{self.folder}/keys/{step}")
-        self._put(f"log/{step}", {"step": step})
+        self._put(f"log/{step}", {"step": step, "patterns": found})
         self.steps.append(step)
         scratch.drop()
 
-    def _learn(self, probed: DataFrame, agreed: DataFrame) -> dict | None:
-        """Log-odds weights, or None if the step has no address or no proven match (equal ids or addresses).
-        m: how often a field agrees where another proves the match; u: how often it agrees by chance.
-
-        Both come from counts over all of the step's data: at most 27 patterns, and sums of squared value frequencies.
-        """
-        patterns = agreed.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n")).collect()
-        if not any(p["id"] == 1 or p["address"] == 1 for p in patterns):
-            return None
-        kind = F.substring("key", 1, 1)
-        n = F.col("n").cast("double")
-        freq = {r[0]: (r[1], r[2]) for r in probed.groupBy(kind.alias("kind")).agg(F.sum(n), F.sum(n * n)).collect()}
-        if "a" not in freq:
-            return None
-        sites = probed.where(kind == "a").groupBy(F.regexp_extract("key", r"^a:([^/?]*)", 1)).agg(F.sum(n).alias("n")).agg(F.sum("n"), F.sum(n * n)).first()
-        chance = {"id": freq.get("i", (0, 0)), "address": freq["a"], "site": (sites[0], sites[1])}
-        weights = {}
-        for field, proof in (("id", "address"), ("address", "id"), ("site", "id")):
-            yes = sum(p["n"] for p in patterns if p[proof] == 1 and p[field] == 1)
-            no = sum(p["n"] for p in patterns if p[proof] == 1 and p[field] == 0)
-            m = (yes + 1) / (yes + no + 2)
-            total, squares = chance[field]
-            u = min(0.5, (squares + 1) / (total * total + 2)) if total else 0.5
-            agree, differ = math.log(m / u), max(LEAST_DIFFER[field], math.log((1 - m) / (1 - u)))
-            agree = min(MOST_SITE, max(0.0, agree)) if field == "site" else max(LEAST_AGREE, agree)
-            weights[field] = {"agree": agree, "differ": min(0.0, differ), "m": m, "u": u}
-        return weights
-
     def find(self) -> DataFrame:
         """node, root of every record with a parent. All edges count: a record may have had several parents, in several steps,
         and those share its root, however far above."""

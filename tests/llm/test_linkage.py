@@ -1,4 +1,4 @@
-from quern.llm.linkage import LinkStore, history_records, link_batches, repeated_rows
+from quern.llm.linkage import FIELDS, LinkStore, history_records, learn, link_batches, repeated_rows
 
 SEEN = "url_key STRING, url STRING, first_seen STRING"
 ROWS = "ord BIGINT, batch INT, url STRING, id STRING, key STRING, node INT"
@@ -34,7 +34,7 @@ def test_later_runs_use_what_is_stored(spark, tmp_path):
     first = repeated_rows(seen, df.where("ord <= 4"), folder)
     assert sorted(r.ord for r in first.collect()) == [2, 3]
     store = LinkStore(spark, folder)
-    assert store.steps == [0, 1] and set(store.weights) == {"id", "address", "site"} and store.weights["id"]["agree"] > 0 >= store.weights["address"]["differ"]
+    assert store.steps == [0, 1] and set(store.weights) == {"id", "site", "path", "query"} and store.weights["id"]["agree"] > 0 >= store.weights["path"]["differ"]
     link_batches(store, df.where("ord > 4"))
     assert sorted(r.node for r in store.parents().where("direct").collect()) == [2, 3, 5, 9, 10]
     assert {r.node: r.root for r in store.find().where("node >= 0").collect()} | {5: 0} == {2: 1, 3: 1, 5: 0, 9: 8, 10: 8}
@@ -56,19 +56,32 @@ def test_ids_without_any_address(spark):
     assert sorted(r.ord for r in repeated_rows(seen, df).collect()) == [1, 3]
 
 
-def test_weights_wait_for_proven_matches(spark, tmp_path):
+def test_weights_decide(spark, tmp_path):
+    """All of these pairs share a blocking key; only the weights tell the article's parameter from a shared path."""
+    rows = [(k, f"i{k}", f"https://x.example/show?id={k // 2}") for k in range(40)] + [(50, None, "https://x.example/show?id=99")]
     store = LinkStore(spark, f"file://{tmp_path}/store")
-    store.add(history_records(spark.createDataFrame([("h1", "https://x.example/a", None), ("h2", "https://x.example/A", None)], SEEN)))
-    assert store.weights is None  # a pair by the loose address proves nothing
-    store.add(spark.createDataFrame([(k, f"i{k % 5}", f"https://x.example/p{k % 5}") for k in range(20)], "node BIGINT, id STRING, url STRING"))
-    assert store.weights["id"]["m"] > 0.9 and store.weights["address"]["m"] > 0.9
+    store.add(spark.createDataFrame(rows, "node BIGINT, id STRING, url STRING"))
+    assert sorted(r.node for r in store.parents().where("direct").collect()) == list(range(1, 40, 2))
+    assert (0, 1, 1, 0) in store.patterns and (None, 1, 1, 0) in store.patterns
     assert LinkStore(spark, store.folder).weights == store.weights
 
 
-def test_a_site_that_agrees_counts_nothing_against_a_pair(spark):
-    seen = spark.createDataFrame([("h%d" % (k // 2), f"https://{'xy'[k % 2]}.example/h{k}", None) for k in range(400)], SEEN)  # equal ids on two sites
-    df = spark.createDataFrame([(1, 1, "https://x.example/a", None, "k", 1), (2, 1, "https://x.example/a#top", None, "k", 1)], ROWS)
-    assert [r.ord for r in repeated_rows(seen, df).collect()] == [2]
+def test_learned_weights_put_every_pattern_on_its_side():
+    sides = (1, 0, None)
+    patterns = {(i, *a): 10 ** (k % 7) for k, i in enumerate(sides) for a in [(s, p, q) for s in (1, 0) for p in (1, 0) for q in (1, 0)] + [(None, None, None)]}
+    bias, weights = learn(patterns)
+    for a in patterns:
+        score = bias + sum(weights[f]["agree"] if v == 1 else weights[f]["differ"] if v == 0 else 0 for f, v in zip(FIELDS, a))
+        assert (score > 0) == (a[0] == 1 or a[1:] == (1, 1, 1)), a
+
+
+def test_links_over_steps_are_kept(spark, tmp_path):
+    rows = [(3, "p", None), (4, "q", "https://x.example/a"), (5, "q2", "https://x.example/a#x"), (6, "q2", None), (7, "p", None), (8, "P", "https://www.x.example/a")]
+    df = spark.createDataFrame(rows, "node BIGINT, id STRING, url STRING")
+    store = LinkStore(spark, f"file://{tmp_path}/store")
+    for low, high in ((3, 5), (6, 6), (7, 8)):
+        store.add(df.where(f"node BETWEEN {low} AND {high}"))
+    assert {r.node: r.root for r in store.find().collect()} == {4: 3, 5: 3, 6: 3, 7: 3, 8: 3}
 
 
 def test_a_step_that_was_cut_off_is_done_again(spark, tmp_path):
