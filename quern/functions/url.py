@@ -33,25 +33,24 @@ def address_parts(url: Column) -> dict[str, Column]:
     return {"host": host, "path": F.regexp_extract(body, r"^[^/?]*([^?]*)", 1), "query": F.regexp_extract(body, r"\?(.*)$", 1)}
 
 
-def site_of(url: Column) -> Column:
-    """The host without the labels of other presentations (www., m., amp. ...)."""
-    return F.regexp_replace(address_parts(url)["host"], SITE_LABELS, "")
-
-
-def page_address(url: Column) -> Column:
-    """One spelling for all addresses of one page; null for null and blank addresses.
+def page_parts(url: Column) -> dict[str, Column]:
+    """site, path and query of the page that an address names, in one spelling; empty where absent, null for null.
 
     Ignored are the scheme, the host's letter case, usual ports, labels such as www. or amp., needless escapes, doubled
     and final slashes, a final index.html or amp, the fragment, the order of parameters and IDLE_PARAMETERS. The letter
     case of the path and all other parameters count.
     """
     part = address_parts(url)
-    host = F.regexp_replace(part["host"], SITE_LABELS, "")
     path = F.regexp_replace(_unescape(part["path"]), r"(?i);(?:jsessionid|sid)=[^/]*", "")
     path = F.regexp_replace(F.regexp_replace(path, r"/{2,}", "/"), r"(?:/(?:index|default)\.html?|/amp)?/?$", "")
     pairs = F.filter(F.split(part["query"], "[&;]"), lambda x: (x != "") & ~F.rlike(x, F.lit(f"(?i)^(?:{IDLE_PARAMETERS})(?:=|$)")))
-    query = F.array_join(F.array_sort(F.transform(pairs, _unescape)), "&")
-    whole = F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return {"site": F.regexp_replace(part["host"], SITE_LABELS, ""), "path": path, "query": F.array_join(F.array_sort(F.transform(pairs, _unescape)), "&")}
+
+
+def page_address(url: Column) -> Column:
+    """page_parts as one address; null for null and blank addresses."""
+    part = page_parts(url)
+    whole = F.concat(part["site"], part["path"], F.when(part["query"] != "", F.concat(F.lit("?"), part["query"])).otherwise(""))
     return F.when(whole != "", whole)
 
 # Parameters that feed items' addresses lose.
