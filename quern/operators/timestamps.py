@@ -202,12 +202,17 @@ def _parsed(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
 _KEY = ["raw", "zone", "country"]
 
 
+#: Version of the notations; entries of a dictionary that another version parsed aren't used.
+PARSER = 1
+
+
 def _dictionary(keys: DataFrame, folder: str | None) -> DataFrame:
     """raw, zone, country, epoch_ms of every distinct key; with a folder, entries it lacks are parsed and added first."""
     spark = keys.sparkSession
     parse = lambda x: x.withColumn("epoch_ms", _parsed("raw", "zone", "country"))
     if folder is None:
         return parse(keys)
+    folder = f"{folder}/parser-{PARSER}"
     if _exists(spark, folder):
         known = spark.read.parquet(folder)
         match = [keys[c].eqNullSafe(known[c]) for c in _KEY]
@@ -237,7 +242,8 @@ def normalise_timestamps(df: DataFrame, raw: Column | str, zone: Column | str, c
     counts = Scratch(df.sparkSession, "timestamps").write(counts.select(F.xxhash64("__key").alias("hash"), "__key.*", "n"), "keys")
     hot = hot_keys(counts, "hash", "n")
     known = _dictionary(counts.select(*_KEY), dictionary)
-    table = known.select(F.struct(*_KEY).alias("__key"), F.col("epoch_ms").alias(out))
+    # Two runs at once may have added the same entry; it counts once.
+    table = known.groupBy(F.struct(*_KEY).alias("__key")).agg(F.first("epoch_ms").alias(out))
     # Rows without text would all meet in one task, so they take no part in the join.
     hit = join_small_per_key(rows.where(F.col("__key").isNotNull()), table, "__key", hot, "left", by=F.xxhash64("__key")).drop("__key")
     none = rows.where(F.col("__key").isNull()).drop("__key").withColumn(out, F.lit(None).cast("bigint"))

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.timestamps import normalise_timestamps
-from quern.session import Scratch
+from quern.session import shared_dir
 
 
 def _instants(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Candidates with their instants; the dictionary of parsed dates is kept below the shared folder, for later runs."""
     candidates = spark.read.parquet(f"{folder}/candidates.parquet").select("ord", "source_id", "published", *columns)
     clocks = spark.read.parquet(f"{folder}/sources.parquet").select(F.col("id").alias("source_id"), "tz", "country")
-    return normalise_timestamps(candidates.join(clocks, "source_id", "left"), "published", "tz", "country", dictionary=f"{Scratch(spark, 'instants').path}/dictionary")
+    return normalise_timestamps(candidates.join(clocks, "source_id", "left"), "published", "tz", "country", dictionary=f"{shared_dir(spark)}/quern-kept/instants")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 
@@ -29,14 +30,56 @@ def build(app: str = "quern", master: str | None = None, **extra: str) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests, local mode)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master may do without; it gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_json(spark: SparkSession, path: str):
+    """The value of a JSON file, None where there is no such file."""
+    at, fs = _at(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """Writes a JSON file beside its place first, so that no reader meets half of one."""
+    at, fs = _at(spark, path)
+    beside, _ = _at(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(json.dumps(value).encode()))
+    finally:
+        out.close()
+    fs.delete(at, False)
+    fs.rename(beside, at)
+
+
+def fingerprint(df: DataFrame) -> list[str] | None:
+    """Names, sizes and times of the files that df reads; None where it reads none. Changed data have another fingerprint."""
+    found = []
+    for name in sorted(df.inputFiles()):
+        at, fs = _at(df.sparkSession, name)
+        status = fs.getFileStatus(at)
+        found.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return found or None
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df for work that takes long per row: moved to as many partitions as there are cores where the table has fewer, as
     a small one in a single file has. Large tables have more partitions than that and stay as they are."""
