@@ -12,6 +12,8 @@ mostly stand elsewhere on other pages. Every training page is used three times:
 and with containers and heading hidden, so that the trees also learn to do without them where markup is missing, broken
 or misleading.
 
+A trained model is kept below the shared folder under the fingerprint of the pages' files, so the same pages train once.
+
 Defined results: pages with null or empty html or text have no blocks. Blocks are those of `text` (parts between empty
 lines); where the markup yields others, they are matched by their words. Without any page clear enough for training, the
 labelling rules themselves decide.
@@ -19,7 +21,9 @@ labelling rules themselves decide.
 
 from __future__ import annotations
 
+import hashlib
 import html as markup
+import json
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -30,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.trees import BoostedTrees
-from quern.session import spread
+from quern.session import fingerprint, read_json, shared_dir, spread, write_json
 
 #: Training pages: those whose identifiers have the smallest hashes.
 SAMPLE = 1500
+#: Version of features, labels and training; models of another version aren't used.
+VERSION = 2
 #: Log-odds that a container has to win back before any of its blocks is chosen.
 PENALTY = 1.0
 
@@ -271,6 +277,20 @@ class Model:
     def __init__(self, phrases: Phrases, names: Phrases, trees: BoostedTrees | None):
         self.phrases, self.names, self.trees = phrases, names, trees
 
+    def to_json(self) -> dict:
+        trees = None if self.trees is None else {"base": self.trees.base, **{k: getattr(self.trees, k).tolist() for k in ("features", "cuts", "leaves")}}
+        return {"phrases": self.phrases.sums, "names": self.names.sums, "trees": trees}
+
+    @classmethod
+    def from_json(cls, kept: dict) -> Model:
+        phrases, names, trees = Phrases(), Phrases(), None
+        phrases.sums, names.sums = kept["phrases"], kept["names"]
+        if kept["trees"] is not None:
+            trees = BoostedTrees()
+            trees.base = kept["trees"]["base"]
+            trees.features, trees.cuts, trees.leaves = (np.array(kept["trees"][k]) for k in ("features", "cuts", "leaves"))
+        return cls(phrases, names, trees)
+
     def log_odds(self, pages: list[Page]) -> list[np.ndarray]:
         if self.trees is None:
             found = [rule_labels(p) for p in pages]
@@ -333,13 +353,27 @@ def train(sources: list[str]) -> Model:
     return Model(slim, names, BoostedTrees().fit(x, y))
 
 
+def _model(pages: DataFrame, rows: DataFrame, ident: str, sample: int) -> Model:
+    """The kept model of these files, or a new one: identifiers are read alone to choose the sample, then its markup."""
+    spark, path = pages.sparkSession, None
+    if (files := fingerprint(pages)) is not None:
+        key = hashlib.sha256(json.dumps([VERSION, sample, ident, files]).encode()).hexdigest()[:24]
+        path = f"{shared_dir(spark)}/quern-kept/boilerplate-{key}.json"
+        if (kept := read_json(spark, path)) is not None:
+            return Model.from_json(kept)
+    chosen = [r[0] for r in pages.select(F.col(f"`{ident}`").alias("ident")).orderBy(F.xxhash64("ident"), "ident").limit(sample).collect()]
+    model = train([r[0] for r in rows.where(F.col("ident").isin(chosen)).select("html").limit(2 * sample).collect()])
+    if path is not None:
+        write_json(spark, path, model.to_json())
+    return model
+
+
 def article_blocks(pages: DataFrame, ident: str = "page_id", source: str = "html", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """ident, block_no of every block of every page that belongs to the article. Pages stay where they are, unless the
     table has fewer partitions than there are cores."""
     spark = pages.sparkSession
     rows = pages.select(F.col(f"`{ident}`").alias("ident"), F.col(f"`{source}`").alias("html"), F.col(f"`{text}`").alias("text")).where((F.length("html") > 0) & (F.length("text") > 0))
-    chosen = [r[0] for r in rows.select("ident").orderBy(F.xxhash64("ident"), "ident").limit(sample).collect()]
-    model = train([r[0] for r in rows.where(F.col("ident").isin(chosen)).select("html").limit(2 * sample).collect()])
+    model = _model(pages, rows, ident, sample)
     shared = spark.sparkContext.broadcast(model)  # phrases of at most `sample` pages and the trees
 
     def chosen_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

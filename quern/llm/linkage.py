@@ -24,8 +24,6 @@ rows with the same record number are one record. An empty batch changes nothing.
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +31,7 @@ from pyspark.sql import functions as F
 from quern.functions.url import page_address, page_parts
 from quern.llm.components import connected_components
 from quern.operators.skew import hot_keys, join_small_per_key
-from quern.session import Scratch
+from quern.session import Scratch, read_json, write_json
 
 FIELDS = ("id", "site", "path", "query")
 #: Pairs that are taken as seen before any other, as (agreement of FIELDS, match): an id, or a whole address, proves a page.
@@ -86,33 +84,17 @@ class LinkStore:
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._fs_path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
         done = self._fs_path(f"{self.folder}/log")
-        self.steps = sorted(int(str(x.getPath().getName())) for x in self.fs.listStatus(done)) if self.fs.exists(done) else []
+        names = [str(x.getPath().getName()) for x in self.fs.listStatus(done)] if self.fs.exists(done) else []
+        self.steps = sorted(int(n) for n in names if n.isdigit())
         self.patterns: dict[tuple, int] = {}
         for step in self.steps:
-            self._count(self._get(f"log/{step}")["patterns"])
+            self._count(read_json(spark, f"{self.folder}/log/{step}")["patterns"])
         self.bias, self.weights = learn(self.patterns)
 
     def _count(self, found: list) -> None:
         for agreement, n in found:
             self.patterns[tuple(agreement)] = self.patterns.get(tuple(agreement), 0) + n
 
-    def _get(self, name: str):
-        path = self._fs_path(f"{self.folder}/{name}")
-        if not self.fs.exists(path):
-            return None
-        stream = self.fs.open(path)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _put(self, name: str, value) -> None:
-        out = self.fs.create(self._fs_path(f"{self.folder}/{name}"), True)
-        try:
-            out.write(bytearray(json.dumps(value).encode()))
-        finally:
-            out.close()
-
     def _table(self, name: str, schema: str) -> DataFrame:
         paths = [f"{self.folder}/{name}/{k}" for k in self.steps]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -150,7 +132,7 @@ class LinkStore:
         ))
         matched.select(F.inline(edges)).write.mode("overwrite").parquet(f"{self.folder}/parents/{step}")
         probed.where("fresh").select("key", "first").write.mode("overwrite").parquet(f"{self.folder}/keys/{step}")
-        self._put(f"log/{step}", {"step": step, "patterns": found})
+        write_json(self.spark, f"{self.folder}/log/{step}", {"step": step, "patterns": found})
         self.steps.append(step)
         scratch.drop()
 

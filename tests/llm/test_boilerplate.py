@@ -58,3 +58,14 @@ def test_trees_learn_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
     model = BoostedTrees(trees=20).fit(x[:3000], y[:3000])
     assert ((model.log_odds(x[3000:]) > 0) == y[3000:]).mean() > 0.95
+
+
+def test_a_model_is_trained_once(spark, tmp_path, monkeypatch):
+    import quern.llm.boilerplate as module
+
+    rows = [(k, f"<body><h1>Head {k}</h1><p>One sentence of text stands here.</p></body>", f"Head {k}\n\nOne sentence of text stands here.") for k in range(8)]
+    spark.createDataFrame(rows, "page_id BIGINT, html STRING, text STRING").write.parquet(f"{tmp_path}/pages")
+    trained, train = [], module.train
+    monkeypatch.setattr(module, "train", lambda sources: trained.append(len(sources)) or train(sources))
+    got = [sorted(map(tuple, module.article_blocks(spark.read.parquet(f"{tmp_path}/pages")).collect())) for _ in range(2)]
+    assert got[0] == got[1] and trained == [8]
