@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Fixed value: what stands for the hash before the first entry.
 GENESIS = "0" * 64
 
 
