@@ -58,16 +58,20 @@ FEED_TRACKING = r"^(?:utm_|fbclid|gclid|mc_|ref$|ref_src|cmpid|ito)"
 
 
 def feed_address(url: Column) -> Column:
-    """The address of a feed item as its key: scheme (https if missing), lower-case host with port, path without final
-    slash, and the parameters with a value that aren't FEED_TRACKING, in their order; no fragment."""
+    """The address of a feed item as its key: scheme (https if missing), lower-case host with port, path without its
+    parameters behind a semicolon and without final slash, and the query's parameters with a value that aren't FEED_TRACKING,
+    in their order, escaped in one way; no fragment."""
     text = F.trim(url)
     scheme = F.lower(F.coalesce(F.nullif(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1), F.lit("")), F.lit("https")))
     body = F.regexp_replace(F.regexp_replace(text, r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.\-]*://", "")
     host = F.lower(F.regexp_extract(body, r"^([^/?]*)", 1))
-    path = F.regexp_replace(F.regexp_extract(body, r"^[^/?]*([^?]*)", 1), r"/+$", "")
-    pairs = F.split(F.regexp_extract(body, r"\?(.*)$", 1), "&")
-    kept = F.filter(pairs, lambda x: F.rlike(x, F.lit(r"^[^=]*=.")) & ~F.rlike(F.regexp_extract(x, r"^([^=]*)", 1), F.lit(FEED_TRACKING)))
-    query = F.array_join(kept, "&")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(body, r"^[^/?]*([^?]*)", 1), r";[^/]*$", ""), r"/+$", "")
+    pairs = F.filter(F.split(F.regexp_extract(body, r"\?(.*)$", 1), "&"), lambda x: F.rlike(x, F.lit(r"^[^=]*=.")))
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    escaped = lambda x: F.replace(F.replace(F.url_encode(plain(x)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    name, value = (lambda x: F.regexp_extract(x, r"^([^=]*)", 1)), (lambda x: F.regexp_extract(x, r"^[^=]*=(.*)$", 1))
+    kept = F.filter(pairs, lambda x: ~F.rlike(plain(name(x)), F.lit(FEED_TRACKING)))
+    query = F.array_join(F.transform(kept, lambda x: F.concat(escaped(name(x)), F.lit("="), escaped(value(x)))), "&")
     return F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 

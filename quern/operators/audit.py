@@ -15,18 +15,39 @@ from pyspark.sql import types as T
 GENESIS = "0" * 64
 
 
-def build_chain(df: DataFrame, log: str, order: str, body: Column) -> DataFrame:
-    """log, order, prev, hash: a chain per log; hash = sha256(prev | body). A log's entries are folded in order."""
-    entries = df.where(F.col(order).isNotNull()).groupBy(log).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(body, F.lit("")).alias("b")))).alias("e"))
-    kind = df.schema[order].dataType.simpleString()
-    none = F.array().cast(f"array<struct<{order}:{kind},prev:string,hash:string>>")
-
-    def step(acc: Column, e: Column) -> Column:
-        link = F.struct(e["o"].alias(order), acc["last"].alias("prev"), F.sha2(F.concat(acc["last"], F.lit("|"), e["b"]), 256).alias("hash"))
-        return F.struct(link["hash"].alias("last"), F.array_append(acc["out"], link).alias("out"))
-
-    chain = F.aggregate("e", F.struct(F.lit(GENESIS).alias("last"), none.alias("out")), step, lambda a: a["out"])
-    return entries.select(log, F.inline(chain))
+def build_chain(df: DataFrame, log: str, order: str, body: Column, after: DataFrame | None = None) -> DataFrame:
+    """log, order, prev, hash: a chain per log; hash = sha256(prev | body). after: log, hash of the last stored entry of logs
+    that go on; others begin anew.
+
+    Entries stream through sorted partitions, so a log is never held whole; its hashes depend on each other, which makes it
+    the work of one task.
+    """
+    rows = df.where(F.col(order).isNotNull()).select(F.col(log), F.col(order), F.coalesce(body, F.lit("")).alias("__body"))
+    last = F.lit(GENESIS)
+    if after is not None:
+        rows = rows.join(after.select(F.col(log).alias("__log"), F.col("hash").alias("__last")), F.col(log).eqNullSafe(F.col("__log")), "left").drop("__log")
+        last = F.coalesce("__last", F.lit(GENESIS))
+    rows = rows.select(log, order, "__body", last.alias("__last")).repartition(log).sortWithinPartitions(log, order)
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, before = object(), GENESIS
+        for batch in batches:
+            prevs, hashes = [], []
+            for name, text, begin in zip(batch[log].to_pylist(), batch["__body"].to_pylist(), batch["__last"].to_pylist()):
+                if name != current:
+                    current, before = name, begin
+                prevs.append(before)
+                before = hashlib.sha256(f"{before}|{text}".encode()).hexdigest()
+                hashes.append(before)
+            yield pa.record_batch([batch[log], batch[order], pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], [log, order, "prev", "hash"])
+
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (log, order)]
+    return rows.mapInArrow(chained, ", ".join([*kinds, "prev STRING", "hash STRING"]))
+
+
+def last_hashes(chain: DataFrame, log: str, order: str) -> DataFrame:
+    """log, hash of the last entry of every stored log: where new entries go on."""
+    return chain.groupBy(log).agg(F.max_by("hash", order).alias("hash"))
 
 
 def verify_chain(chain: DataFrame, log: str, order: str, body: str) -> DataFrame:

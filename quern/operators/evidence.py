@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import norm_space, shingles, tokens
+from quern.functions.text import norm_space, tokens
 
 #: Rights under which a text may be read, and under which only its facts may be used.
 READABLE, FACTS_ONLY = ("LICENSED", "PRIMARY_PUBLIC"), "FACTS_ONLY"
@@ -40,9 +40,13 @@ def verify_claims(claims: DataFrame, documents: DataFrame, key: str, claim: str,
     the key. Claims without a document come out once.
     """
     docs = documents.select(F.col(key), F.col(order), "text", "rights")
-    joined = claims.select(key, claim, span).join(docs, key, "left").join(readable_by_key(documents, key, order), key, "left")
+    # Only keys with a facts-only document need their readable texts, and each span is looked for in them once.
+    asked = claims.select(key, span).distinct().join(documents.where(F.col("rights") == FACTS_ONLY).select(key).distinct(), key, "left_semi")
+    found = asked.join(readable_by_key(documents, key, order), key).select(key, F.col(span).alias("__span"), verbatim(F.col(span), F.col("readable")).alias("confirmed"))
+    joined = claims.select(key, claim, span).join(docs, key, "left")
+    joined = joined.join(found.withColumnRenamed(key, "__key"), (F.col(key) == F.col("__key")) & (F.col(span) == F.col("__span")), "left")
     missing = ~F.coalesce(verbatim(F.col(span), F.col("text")), F.lit(False))
-    unconfirmed = (F.col("rights") == FACTS_ONLY) & ~F.coalesce(verbatim(F.col(span), F.col("readable")), F.lit(False))
+    unconfirmed = (F.col("rights") == FACTS_ONLY) & ~F.coalesce("confirmed", F.lit(False))
     why = F.when(missing, "supporting passage not found verbatim").when(unconfirmed, "only in another outlet's report; no primary confirmation")
     return joined.select(claim, order, why.alias("why"))
 
@@ -58,9 +62,28 @@ def corroboration(items: DataFrame, key: str, owner: Column, tier: Column, right
 def copied_runs(drafts: DataFrame, sources: DataFrame, draft: str, draft_text: str, source_text: str, n: int) -> DataFrame:
     """draft, runs, copied: distinct runs of n words of each draft with that many words, and how many stand in any source.
 
-    Sources are reduced to their distinct runs, so a run that all of them hold costs one row in the join.
+    A run is two hashes of 64 bits of its words, so no text is shuffled. Sources are reduced to their distinct runs, so a run
+    that all of them hold costs one row in the join.
     """
-    words = lambda c: tokens(F.col(c), "[a-z0-9']+")
-    mine = drafts.select(F.col(draft), F.explode(shingles(words(draft_text), n)).alias("run"))
-    theirs = sources.select(F.explode(shingles(words(source_text), n)).alias("run")).distinct().withColumn("hit", F.lit(1))
-    return mine.join(theirs, "run", "left").groupBy(draft).agg(F.count(F.lit(1)).alias("runs"), F.count("hit").alias("copied"))
+
+    def runs(df: DataFrame, text: str, *keep: str) -> DataFrame:
+        words, i = F.col("w"), F.col("i")
+        each = df.select(*keep, tokens(F.col(text), "[a-z0-9']+").alias("w")).where(F.size("w") >= n).select(*keep, "w", F.posexplode("w").alias("i", "c"))
+        run = [F.get(words, i + k) for k in range(n)]
+        each = each.where(i <= F.size(words) - n)
+        return each.select(*keep, F.xxhash64(*run).alias("h"), F.xxhash64(F.lit(n), *run[::-1]).alias("g")).distinct()
+
+    theirs = runs(sources, source_text).withColumn("hit", F.lit(1))
+    mine = runs(drafts.select(F.col(draft), F.col(draft_text)), draft_text, draft)
+    return mine.join(theirs, ["h", "g"], "left").groupBy(draft).agg(F.count(F.lit(1)).alias("runs"), F.count("hit").alias("copied"))
+
+
+def used_sources(kept: DataFrame, documents: DataFrame, key: str, order: str) -> DataFrame:
+    """The documents that a kept claim names."""
+    return documents.join(kept.select(key, order).distinct(), [key, order], "left_semi")
+
+
+def role_of(rights: Column, tier: Column, given: Column) -> Column:
+    """The role of a source once all are known: primary for readable ones of the first two tiers, corroborating where it was
+    gathered as such, else lead."""
+    return F.when(rights.isin(*READABLE) & (tier <= 2), "primary").when(given == "corroborating", "corroborating").otherwise("lead")

@@ -24,6 +24,24 @@ def global_row_number(df: DataFrame, order: list[str], out: str = "row_no") -> D
     return part.withColumn("__own", number).join(offsets, "__part").withColumn(out, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
 
 
+def running_sum(df: DataFrame, key: str, order: list[str], value: Column, out: str) -> DataFrame:
+    """df with out: the sum of value over the rows of its key up to this one, in order. The order should have no ties.
+
+    Rows are range-partitioned by key and order, so a key of most rows lies in many partitions: each sums up its own part of a
+    key, and the parts before it, one row each, are added.
+    """
+    scratch = Scratch(df.sparkSession, "running-sum")
+    part = df.withColumn("__v", value).repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id())
+    part = scratch.write(part, "parts")
+    sums = part.groupBy(F.col(key).alias("__key"), "__part").agg(F.sum("__v").alias("__sum"))
+    before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition at most
+    sums = sums.select("__key", "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    upto = Window.partitionBy("__part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = part.withColumn("__own", F.sum("__v").over(upto)).withColumnRenamed("__part", "__at")
+    joined = own.join(sums, (F.col("__at") == F.col("__part")) & F.col(key).eqNullSafe(F.col("__key")))
+    return joined.withColumn(out, F.col("__own") + F.col("__before")).drop("__v", "__part", "__at", "__key", "__sum", "__before", "__own")
+
+
 def batches(df: DataFrame, order: list[str], size: int, out: str = "batch_no") -> DataFrame:
     """df with out: the number, from 0, of the batch of size rows that a row falls into."""
     return global_row_number(df, order, "__row").withColumn(out, F.floor((F.col("__row") - 1) / size)).drop("__row")

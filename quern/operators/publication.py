@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.text import xml_escape
-from quern.functions.url import domain, domain_suffixes
+from quern.functions.url import address_parts, domain, domain_suffixes
 
 
 def in_window(time: Column, now: Column, oldest_hours: int, youngest_hours: int = 0) -> Column:
@@ -49,5 +53,76 @@ def rss_item(title: Column, link: Column, description: Column, time: Column) ->
     return F.concat(F.lit("<item>"), part("title", title), part("link", link), part("description", description), part("pubDate", F.date_format(time, "EEE, dd MMM yyyy HH:mm:ss Z")), F.lit("</item>"))
 
 
+def joined(df: DataFrame, entry: Column, order: list[Column], n: int, head: str, foot: str, out: str = "document") -> DataFrame:
+    """One row: a document of the first n entries in order, between head and foot. At most n rows are brought together."""
+    first = df.withColumn("__e", entry).orderBy(*order).limit(n).withColumn("__n", F.monotonically_increasing_id())
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("__n", "__e"))), lambda x: x["__e"])
+    return first.agg(F.concat(F.lit(head), F.array_join(parts, ""), F.lit(foot)).alias(out))
+
+
+def news_entry(url: Column, publication: Column, language: Column, time: Column, title: Column) -> Column:
+    """An entry of a news site map."""
+    tag = lambda name, c: F.concat(F.lit(f"<news:{name}>"), c, F.lit(f"</news:{name}>"))
+    by = tag("publication", F.concat(tag("name", xml_escape(publication)), tag("language", language)))
+    return F.concat(F.lit("<url><loc>"), xml_escape(url), F.lit("</loc>"), tag("news", F.concat(by, tag("publication_date", F.date_format(time, "yyyy-MM-dd'T'HH:mm:ssXXX")), tag("title", xml_escape(title)))), F.lit("</url>"))
+
+
+def json_ld(kind: str, **fields: Column) -> Column:
+    """A JSON-LD object of schema.org; fields that are null are left out."""
+    return F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit(kind).alias("@type"), *[c.alias(k) for k, c in fields.items()]))
+
+
+def relative_links(html: Column, depth: Column) -> Column:
+    """Links from the root as links from a page depth folders below it; folders become their index.html."""
+    up = F.repeat(F.lit("../"), depth)
+    link = r'(href|src|action)="/(?!/)'
+    folder = F.regexp_replace(F.regexp_replace(html, link + r'([^"#?]*/)?(?=["#?])', '$1="/$2index.html'), link, '$1="\u0001')
+    return F.replace(folder, F.lit("\u0001"), up)
+
+
+def issue_text(df: DataFrame, key: str, title: str, problem: str) -> DataFrame:
+    """key, text: a heading and the sorted distinct problems of every item as Markdown."""
+    lines = F.transform(F.array_sort(F.collect_set(problem)), lambda p: F.concat(F.lit("- "), p))
+    return df.where(F.col(problem).isNotNull()).groupBy(key).agg(F.concat(F.lit("### "), F.first(title), F.lit("\n"), F.array_join(lines, "\n")).alias("text"))
+
+
+def reserved_by_rules(df: DataFrame, url: str, rules: DataFrame) -> DataFrame:
+    """df with reserved: a rule (host, location, reserved) of the address's host covers its path; stars in locations are ignored.
+
+    A host has few rules, so they are gathered per host and tested row by row.
+    """
+    prefix = F.replace(F.coalesce("location", F.lit("")), F.lit("*"), F.lit(""))
+    per_host = rules.where(F.trim(F.col("reserved").cast("string")) == "1").groupBy(F.lower("host").alias("__h")).agg(F.collect_set(F.when(prefix == "", "/").otherwise(prefix)).alias("__p"))
+    part = address_parts(F.col(url))
+    rows = df.withColumn("__host", part["host"]).join(per_host, F.col("__host") == F.col("__h"), "left")
+    covered = F.exists("__p", lambda p: F.startswith(part["path"], p))
+    return rows.withColumn("reserved", F.coalesce(covered, F.lit(False))).drop("__host", "__h", "__p")
+
+
+def robots_allow(robots: Column, agent: str, url: Column) -> Column:
+    """Whether a robots.txt lets the agent fetch the address; a null or empty file allows all."""
+
+    def allowed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        from functools import lru_cache
+        from urllib.robotparser import RobotFileParser
+
+        @lru_cache(1024)
+        def parsed(text: str) -> RobotFileParser:
+            rules = RobotFileParser()
+            rules.parse(text.splitlines())
+            return rules
+
+        for texts, urls in batches:
+            yield pa.array([not t or u is None or parsed(t).can_fetch(agent, u) for t, u in zip(texts.to_pylist(), urls.to_pylist())], pa.bool_())
+
+    allowed.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(allowed, T.BooleanType())(robots, url)
+
+
+def also_moving(df: DataFrame, top: DataFrame, ident: str, order: list[Column], n: int) -> DataFrame:
+    """The first n rows that aren't among the top ones."""
+    return df.join(top.select(ident), ident, "left_anti").orderBy(*order).limit(n)
+
+
 def sitemap_entry(url: Column, changed: Column) -> Column:
     return F.concat(F.lit("<url><loc>"), xml_escape(url), F.lit("</loc><lastmod>"), F.date_format(changed, "yyyy-MM-dd"), F.lit("</lastmod></url>"))

@@ -19,13 +19,23 @@ def series_facts(series: Column) -> Column:
     return F.struct(first.alias("first"), last.alias("last"), F.array_min(values).alias("least"), F.array_max(values).alias("greatest"), F.when(last >= first, "rose").otherwise("fell").alias("trend"))
 
 
+def value_text(value: Column, unit: str = "") -> Column:
+    """A value as texts name it: percentages with one decimal, values from 100 without, others with two; halves go to the
+    even number."""
+    if unit == "%":
+        return F.concat(F.format_string("%.1f", F.bround(value.cast("double"), 1)), F.lit("%"))
+    behind = f" {unit}" if unit else ""
+    large = F.format_number(F.bround(value, 0), 0)
+    return F.concat(F.when(F.abs(value) >= 100, large).otherwise(F.format_string("%.2f", F.bround(value.cast("double"), 2))), F.lit(behind))
+
+
 def trend_sentence(name: Column, series: Column, unit: str = "", less_is_better: bool = False) -> Column:
     """One sentence about a series of at least two points; null for shorter ones."""
     first, last = F.get(series, F.lit(0)), F.try_element_at(series, F.lit(-1))
     rose = last["value"] >= first["value"]
     verb = F.when(rose, "Rose").otherwise("Fell")
     good = F.when(rose == F.lit(not less_is_better), "").otherwise(" (the wrong way)")
-    say = lambda v: F.concat(F.format_number(F.bround(v, 0), 0), F.lit(unit))
+    say = lambda v: value_text(v, unit)
     text = F.concat(name, F.lit(": "), verb, F.lit(" from "), say(first["value"]), F.lit(" in "), first["year"].cast("string"), F.lit(" to "), say(last["value"]), F.lit(" in "), last["year"].cast("string"), good, F.lit("."))
     return F.when(F.size(series) >= 2, text)
 

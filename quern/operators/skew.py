@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +32,3 @@ def join_small_per_key(rows: DataFrame, table: DataFrame, key: str, hot: list, h
     cold = rows.where(~F.coalesce(is_hot, F.lit(False))).join(table.where(~is_hot), key, how)
     few = F.broadcast(table.where(is_hot))  # one row per key, at most len(hot)
     return rows.where(is_hot).join(few, key, how).unionByName(cold)
-
-
-def all_true(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

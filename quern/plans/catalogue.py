@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import text as X
+from quern.functions import display, text as X
 from quern.functions.html import page_extract
 from quern.functions.url import domain, feed_address
-from quern.operators import audit, checks, discovery, evidence, monitoring, ordering, publication, series
+from quern.operators import audit, checks, discovery, evidence, gathering, monitoring, ordering, publication, series
 from quern.session import Scratch, spread
 from quern.streaming import feeds as streams
 
@@ -38,9 +38,10 @@ _SP = "[ \\t\\n\\r\\f\\x0B\\x{00A0}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000
 _NORM = "trim(regexp_replace(translate({0}, '‘’“”–— ', '''''\"\"-- '), '" + _SP + "+', ' ', 'g'), ' ')"
 _ADDRESS = """(SELECT *, CASE WHEN q <> '' THEN b || '?' || q ELSE b END AS address FROM (
     SELECT *, sch || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END AS b,
-        array_to_string(list_filter(string_split(regexp_extract(body, '\\?(.*)$', 1), '&'),
-            lambda x: regexp_matches(x, '^[^=]*=.') AND NOT regexp_matches(regexp_extract(x, '^([^=]*)', 1), '^(?:utm_|fbclid|gclid|mc_|ref$|ref_src|cmpid|ito)')), '&') AS q
-    FROM (SELECT *, lower(regexp_extract(body, '^([^/?]*)', 1)) AS host, regexp_replace(regexp_extract(body, '^[^/?]*([^?]*)', 1), '/+$', '') AS path
+        array_to_string(list_transform(list_filter(string_split(regexp_extract(body, '\\?(.*)$', 1), '&'),
+            lambda x: regexp_matches(x, '^[^=]*=.') AND NOT regexp_matches(url_decode(replace(regexp_extract(x, '^([^=]*)', 1), '+', ' ')), '^(?:utm_|fbclid|gclid|mc_|ref$|ref_src|cmpid|ito)')),
+            lambda x: replace(url_encode(url_decode(replace(regexp_extract(x, '^([^=]*)', 1), '+', ' '))), '%20', '+') || '=' || replace(url_encode(url_decode(replace(regexp_extract(x, '^[^=]*=(.*)$', 1), '+', ' '))), '%20', '+')), '&') AS q
+    FROM (SELECT *, lower(regexp_extract(body, '^([^/?]*)', 1)) AS host, regexp_replace(regexp_replace(regexp_extract(body, '^[^/?]*([^?]*)', 1), ';[^/]*$', ''), '/+$', '') AS path
     FROM (SELECT *, lower(coalesce(nullif(regexp_extract(trim(url, ' '), '^([A-Za-z][A-Za-z0-9+.\\-]*)://', 1), ''), 'https')) AS sch,
         regexp_replace(regexp_replace(trim(url, ' '), '#(?s:.)*$', ''), '^[A-Za-z][A-Za-z0-9+.\\-]*://', '') AS body FROM {0} WHERE url IS NOT NULL))))"""
 
@@ -307,8 +308,8 @@ def tracker_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT event_id, sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cents_so_far FROM events")
 def running_totals(spark: SparkSession, folder: str) -> DataFrame:
-    upto = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _stories(spark, folder).select("event_id", F.sum(F.round(F.col("value") * 100).cast("bigint")).over(upto).alias("cents_so_far"))
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    return ordering.running_sum(_stories(spark, folder), "user_id", ["ts", "event_id"], cents, "cents_so_far").select("event_id", "cents_so_far")
 
 
 @query("SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 30) AS BIGINT) AS batch_no FROM documents")
@@ -453,3 +454,43 @@ def streamed_daily_counts(spark: SparkSession, folder: str) -> DataFrame:
     like = table(spark, folder, "events")
     stream = streams.read_table(spark, f"{folder}/events.parquet", like).select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
     return streams.run_to_table(streams.window_counts(stream, "ts", "event_type", "value"), Scratch(spark, "stream").path)
+
+
+_PAGES = f"""pg AS (SELECT page, arg_max(r, page_id) AS r FROM (SELECT address AS page, page_id, struct_pack(status := status, text := text, links := links, reserved := coalesce(tdm_reserved, false)) AS r FROM {_ADDRESS.format('pages')}) GROUP BY page),
+    ok AS (SELECT page, r.text AS text, r.links AS links, r.reserved AS reserved FROM pg WHERE r.status = 200 AND length(r.text) > 0)"""
+_HOSTED = "lower(regexp_extract(regexp_replace({0}, '^[A-Za-z][A-Za-z0-9+.\\-]*://', ''), '^([^/?#]*)', 1))"
+_GATHERED = f"""WITH {_PAGES}, c AS (SELECT a.ord, a.address AS page, b.tier, b.rights, b.cluster FROM candidates b LEFT JOIN {_ADDRESS.format('candidates')} a ON a.ord = b.ord WHERE a.ord IS NOT NULL),
+    d AS (SELECT DISTINCT {_DOMAIN.format('url')} AS d FROM sources WHERE tier = 1),
+    own AS (SELECT c.*, ok.links FROM c JOIN ok ON c.page = ok.page),
+    lk AS (SELECT ord, page AS mine, CAST(i AS BIGINT) AS i, links[i].href AS url FROM (SELECT ord, page, links, unnest(range(1, len(links) + 1)) AS i FROM own)),
+    la AS (SELECT ord, mine, i, url, address FROM {_ADDRESS.format('lk')}),
+    lx AS (SELECT ord, address AS page, min(i) AS i FROM la WHERE EXISTS (SELECT 1 FROM d WHERE {_DOMAIN.format('la.url')} = d.d OR {_DOMAIN.format('la.url')} LIKE '%.' || d.d)
+        AND {_HOSTED.format('la.url')} <> {_HOSTED.format('la.mine')} AND address <> mine GROUP BY ord, address),
+    ly AS (SELECT lx.*, row_number() OVER (PARTITION BY ord ORDER BY i) AS k FROM lx JOIN ok ON lx.page = ok.page),
+    fp AS (SELECT cluster, page, min(ord) AS first_ord, arg_min(tier, ord) AS tier, arg_min(rights, ord) AS rights FROM c WHERE cluster IS NOT NULL GROUP BY cluster, page),
+    fq AS (SELECT * FROM (SELECT fp.*, row_number() OVER (PARTITION BY cluster ORDER BY first_ord) AS k FROM fp JOIN ok ON fp.page = ok.page) WHERE k <= 8),
+    u AS (SELECT ord, page, 0 AS stage, 0 AS place, CASE WHEN rights IN ('LICENSED', 'PRIMARY_PUBLIC') AND tier <= 2 THEN 'primary' ELSE 'lead' END AS role, CASE WHEN rights IN ('FACTS_ONLY', 'LINK_ONLY') THEN 'FACTS_ONLY' ELSE rights END AS rights FROM own
+        UNION ALL SELECT ord, page, 1, k, 'primary', 'PRIMARY_PUBLIC' FROM ly WHERE k <= 2
+        UNION ALL SELECT c.ord, fq.page, 2, fq.first_ord, 'corroborating', CASE WHEN fq.rights IN ('FACTS_ONLY', 'LINK_ONLY') THEN 'FACTS_ONLY' ELSE fq.rights END FROM c JOIN fq ON c.cluster = fq.cluster WHERE fq.page <> c.page),
+    v AS (SELECT *, row_number() OVER (PARTITION BY ord, page ORDER BY stage, place) AS one FROM u),
+    w AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY stage, place) AS n FROM v WHERE one = 1),
+    g AS (SELECT ord, n, page, role, CASE WHEN reserved AND rights IS DISTINCT FROM 'LICENSED' THEN 'LINK_ONLY' ELSE rights END AS rights, text FROM w JOIN ok USING (page) WHERE n <= 5),
+    docs AS (SELECT ord, n, page, role, rights, CASE WHEN rights IS NOT DISTINCT FROM 'LINK_ONLY' THEN '' ELSE substr(text, 1, 40000) END AS text, rights IS DISTINCT FROM 'LINK_ONLY' AND length(text) > 40000 AS truncated FROM g)"""
+
+
+def _gathered(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "candidates").where("url IS NOT NULL").select("ord", feed_address(F.col("url")).alias("page"), "tier", "rights", "cluster")
+    pages = table(spark, folder, "pages").select(feed_address(F.col("url")).alias("page"), "page_id", "status", "text", "title", "links", "tdm_reserved")
+    listed = table(spark, folder, "sources").where("tier = 1").select(domain(F.col("url")).alias("listed"))
+    return gathering.gather(items, pages, listed, feed_address)
+
+
+@query(_GATHERED + " SELECT ord, CAST(n AS INTEGER) AS n, page, role, rights, CAST(length(text) AS INTEGER) AS chars, truncated FROM docs")
+def gathered_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return _gathered(spark, folder).select("ord", "n", "page", "role", "rights", F.length("text").alias("chars"), "truncated")
+
+
+@query(_GATHERED + """ SELECT ord, sha256(string_agg('<document n="' || CAST(n AS VARCHAR) || '" rights="' || coalesce(rights, '') || '">' || chr(10) ||
+    CASE WHEN rights = 'LINK_ONLY' THEN '[link only]' WHEN rights = 'FACTS_ONLY' THEN '[facts only]' ELSE text END || chr(10) || '</document>', chr(10) || chr(10) ORDER BY n)) AS digest FROM docs GROUP BY ord""")
+def evidence_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    return gathering.prompt(_gathered(spark, folder), with_facts=False).select("ord", F.sha2("prompt", 256).alias("digest"))

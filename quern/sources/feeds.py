@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,25 @@ def read_articles(spark: SparkSession, path: str, source_id: str) -> DataFrame:
     return rows.select(*_candidate(F.lit(source_id), F.col("a.url"), F.col("a.title"), F.lit(""), F.col("a.seendate"))).where(F.length("url") > 0)
 
 
+def read_all(readers: dict[str, Callable[[], DataFrame]], sources: DataFrame, only: list[str] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """All feeds together, and the errors of those that failed: a feed that can't be read doesn't stop the others.
+
+    readers: per source id a function that reads its feed. Restricted sources, and those not in only, aren't read at all.
+    """
+    barred = {r[0] for r in sources.where(F.col("rights") == "RESTRICTED").select("id").collect()}  # the register, a row per feed
+    parts, errors = [], {}
+    for name, read in readers.items():
+        if name in barred or (only is not None and name not in only):
+            continue
+        try:
+            part = read()
+            part.limit(1).collect()
+            parts.append(part)
+        except Exception as wrong:  # noqa: BLE001 - whatever a feed's reader raises
+            errors[name] = str(wrong).splitlines()[0]
+    return (union_feeds(parts) if parts else None), errors
+
+
 def with_source_defaults(items: DataFrame, sources: DataFrame) -> DataFrame:
     """items with tier, rights, name and sections of their source: tier 4, LINK_ONLY, the id and no sections where it has none.
     Items of restricted sources are left out."""

@@ -120,7 +120,7 @@ def test_series(spark):
     rows = series.yearly_series(df, "k", F.col("y"), F.col("v")).select("k", series.series_facts(F.col("series")).alias("f"), series.trend_sentence(F.col("k"), F.col("series")).alias("t"), series.sparkline(F.col("series")).alias("s"))
     got = {r.k: r for r in rows.collect()}
     assert (got["a"].f.first, got["a"].f.last, got["a"].f.least, got["a"].f.greatest, got["a"].f.trend) == (5.0, 2.0, 2.0, 9.0, "fell")
-    assert got["a"].t == "a: Fell from 5 in 2020 to 2 in 2022 (the wrong way)." and got["b"].t is None and got["b"].s == "" and got["a"].s.startswith("<svg")
+    assert got["a"].t == "a: Fell from 5.00 in 2020 to 2.00 in 2022 (the wrong way)." and got["b"].t is None and got["b"].s == "" and got["a"].s.startswith("<svg")
 
 
 def test_chain(spark):
