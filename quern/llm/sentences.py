@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.text import bound
 from quern.session import spread
 
 _MASK, _SEP, _KEPT = "", "", ""
@@ -136,12 +137,34 @@ def sentence_spans(text: Column) -> Column:
             F.length(p).alias("n"), F.length(F.regexp_replace(p, r"(?U)^\s+", "")).alias("from_first"), F.length(F.regexp_replace(p, r"(?U)\s+$", "")).alias("to_last")
         ),
     )
+    return _places(parts)
+
+
+#: Parts that are placed together; the work on a text grows with its parts times this number, not with their square.
+_TOGETHER = 128
+
+
+def _places(parts: Column) -> Column:
+    """Places of the parts that aren't blank. Parts are gathered in groups: the groups' beginnings are added up first, then the
+    parts' places in each group."""
     none = F.array().cast("array<struct<start_pos:int,end_pos:int>>")
+
+    def grouped(all_parts: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_parts) - 1) / _TOGETHER).cast("int"))
+        return F.transform(numbers, lambda k: F.slice(all_parts, k * _TOGETHER + 1, F.lit(_TOGETHER)))
+
+    def begun(groups: Column) -> Column:
+        sizes = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda n, p: n + p["n"]))
+        add = lambda acc, n: F.struct((acc["pos"] + n).alias("pos"), F.array_append(acc["out"], acc["pos"]).alias("out"))
+        return F.aggregate(sizes, F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")), add, lambda acc: acc["out"])
+
     step = lambda acc, p: F.struct(
         (acc["pos"] + p["n"]).alias("pos"),
         F.when(p["from_first"] > 0, F.array_append(acc["out"], F.struct((acc["pos"] + p["n"] - p["from_first"]).alias("start_pos"), (acc["pos"] + p["to_last"]).alias("end_pos")))).otherwise(acc["out"]).alias("out"),
     )
-    return F.aggregate(parts, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
+    placed = lambda g, at: F.aggregate(g, F.struct(at.alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
+    several = lambda groups: bound(begun(groups), lambda starts: F.flatten(F.transform(groups, lambda g, k: placed(g, F.get(starts, k)))))
+    return bound(parts, lambda p: F.when(F.size(p) <= _TOGETHER, placed(p, F.lit(0))).otherwise(bound(grouped(p), several)))
 
 
 def split_sentences(df: DataFrame, ident: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:

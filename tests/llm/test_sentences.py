@@ -42,3 +42,10 @@ def test_odd_texts(spark):
         assert dict((i, t) for i, t, _ in rows)[r.doc_id][r.start_pos : r.end_pos] == r.unit
     assert set(got) == {4, 5, 6} and len(got[6]) == 4 and "".join(u for _, u in sorted(got[5])).replace(" ", "") == private.replace(" ", "")
     assert split_sentences(spark.createDataFrame([], "doc_id INT, text STRING")).collect() == []
+
+
+def test_places_in_a_text_of_many_sentences(spark):
+    units = [f"Sentence number {k} stands here." for k in range(3000)]
+    rows = spark.createDataFrame([(1, " ".join(units))], "doc_id BIGINT, text STRING")
+    got = [r.unit for r in split_sentences(rows, with_text=True).orderBy("start_pos").collect()]
+    assert got == units
