@@ -90,7 +90,7 @@ def split_unit(before: Column, after: Column) -> Column:
 
 def slide_texts(slides: Column, dek: Column, chunks: Column, title: Column, most: int = 5) -> Column:
     """The texts given, or else the dek and the chunks, or else the title; blank ones left out, at most most."""
-    some = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), F.trim), lambda t: t != "")
+    some = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != "")
     own = F.concat(some(F.array(F.coalesce(dek, F.lit("")))), F.slice(some(chunks), 1, most - 1))
     made = bound(own, lambda a: F.when(F.size(a) > 0, a).otherwise(some(F.array(F.coalesce(title, F.lit(""))))))
     return bound(some(slides), lambda a: F.slice(F.when(F.size(a) > 0, a).otherwise(made), 1, most))

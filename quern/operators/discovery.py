@@ -80,6 +80,8 @@ def title_clusters(candidates: DataFrame, order: str = "ord", title: str = "titl
         table = table.select("cls", F.col("new").alias("root"))
         if not moved:
             break
+    else:
+        raise RuntimeError("the clusters did not settle")
     final = head.select("words", "cls").join(table, "cls").select("words", "root")
     in_class = rows.where(F.size("words") > 0).join(final, "words").select(F.col("row").alias(order), F.col("root").alias("cluster"))
     alone = rows.where(F.size("words") == 0).select(F.col("row").alias(order), F.col("row").alias("cluster"))

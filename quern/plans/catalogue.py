@@ -12,6 +12,7 @@ from quern.functions.html import page_extract
 from quern.functions.url import domain, feed_address
 from quern.operators import audit, checks, discovery, evidence, gathering, monitoring, ordering, publication, series
 from quern.session import Scratch, spread
+from quern.sources import files
 from quern.streaming import feeds as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -396,12 +397,16 @@ def sitemap_families(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("entries"))
 
 
+def _escaped(column: str) -> str:
+    return f"replace(replace(replace(coalesce({column}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
 @query("""SELECT page_id, '<url><loc>' || replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</loc><lastmod>' || strftime(CAST(retrieved_at AT TIME ZONE 'UTC' AS TIMESTAMP), '%Y-%m-%d') || '</lastmod></url>' AS entry FROM pages WHERE url IS NOT NULL""")
 def sitemap_entries(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").where("url IS NOT NULL").select("page_id", publication.sitemap_entry(F.col("url"), F.col("retrieved_at")).alias("entry"))
 
 
-@query()
+@query("""SELECT ord, '<item><title>' || x(title) || '</title><link>' || x(url) || '</link><description>' || x(summary) || '</description><pubDate>' || coalesce(strftime(CAST(found_at AT TIME ZONE 'UTC' AS TIMESTAMP), '%a, %d %b %Y %H:%M:%S +0000'), '') || '</pubDate></item>' AS item FROM candidates""".replace("x(title)", _escaped("title")).replace("x(url)", _escaped("url")).replace("x(summary)", _escaped("summary")))
 def rss_items(spark: SparkSession, folder: str) -> DataFrame:
     item = publication.rss_item(F.col("title"), F.col("url"), F.col("summary"), F.col("found_at"))
     return table(spark, folder, "candidates").select("ord", item.alias("item"))
@@ -448,12 +453,14 @@ def streamed_first_events(spark: SparkSession, folder: str) -> DataFrame:
     return first.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM events
+    WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
 def streamed_daily_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Closed days of a stream: those that the watermark has passed."""
     like = table(spark, folder, "events")
-    stream = streams.read_table(spark, f"{folder}/events.parquet", like).select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
-    return streams.run_to_table(streams.window_counts(stream, "ts", "event_type", "value"), Scratch(spark, "stream").path)
+    stream = streams.read_table(spark, f"{folder}/events.parquet", like).select("event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"), F.col("ts").cast("timestamp").alias("ts"))
+    counts = streams.run_to_table(streams.window_counts(stream, "ts", "event_type", "cents"), Scratch(spark, "stream").path)
+    return counts.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.col("total").alias("cents"))
 
 
 _PAGES = f"""pg AS (SELECT page, arg_max(r, page_id) AS r FROM (SELECT address AS page, page_id, struct_pack(status := status, text := text, links := links, reserved := coalesce(tdm_reserved, false)) AS r FROM {_ADDRESS.format('pages')}) GROUP BY page),
@@ -494,3 +501,119 @@ def gathered_documents(spark: SparkSession, folder: str) -> DataFrame:
     CASE WHEN rights = 'LINK_ONLY' THEN '[link only]' WHEN rights = 'FACTS_ONLY' THEN '[facts only]' ELSE text END || chr(10) || '</document>', chr(10) || chr(10) ORDER BY n)) AS digest FROM docs GROUP BY ord""")
 def evidence_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return gathering.prompt(_gathered(spark, folder), with_facts=False).select("ord", F.sha2("prompt", 256).alias("digest"))
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_extract(headers['content-type'], 'charset=([0-9A-Za-z_-]+)', 1), ''), 'utf-8') AS charset FROM pages")
+def page_charsets(spark: SparkSession, folder: str) -> DataFrame:
+    kind = F.try_element_at("headers", F.lit("content-type"))
+    return table(spark, folder, "pages").select("page_id", display.charset(kind).alias("charset"))
+
+
+@query("""SELECT page_id, strftime(CAST(retrieved_at AT TIME ZONE 'UTC' AS TIMESTAMP), '%d/%m/%Y') AS short, strftime(CAST(retrieved_at AT TIME ZONE 'UTC' AS TIMESTAMP), '%-d %B %Y') AS long FROM pages WHERE retrieved_at IS NOT NULL""")
+def page_dates(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "pages").where("retrieved_at IS NOT NULL")
+    return rows.select("page_id", display.short_date(F.col("retrieved_at")).alias("short"), display.long_date(F.col("retrieved_at")).alias("long"))
+
+
+@query("""SELECT section, CASE WHEN s = '' THEN 'News' WHEN s IN ('science-health', 'business-work') THEN array_to_string(w, ' & ') ELSE array_to_string(w, ' ') END AS name
+    FROM (SELECT *, list_transform(list_filter(string_split(s, '-'), lambda w: w <> ''), lambda w: upper(w[1]) || lower(w[2:])) AS w FROM (SELECT DISTINCT section, trim(coalesce(section, ''), ' ') AS s FROM (SELECT unnest(sections_hint) AS section FROM candidates)))""")
+def section_names(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "candidates").select(F.explode("sections_hint").alias("section")).distinct()
+    return rows.select("section", display.section_name(F.col("section")).alias("name"))
+
+
+@query("""SELECT ord, replace(regexp_replace(replace(regexp_replace(regexp_replace(replace(title, '...', '…'), '''([0-9]0s\\b)', '’\\1', 'g'), '(^|[\\s(\\[{—–/-])"', '\\1“', 'g'), '"', '”'), '(^|[\\s(\\[{—–/-])''([0-9A-Za-z_])', '\\1‘\\2', 'g'), '''', '’') AS shown
+    FROM candidates WHERE title IS NOT NULL""")
+def shown_titles(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "candidates").where("title IS NOT NULL")
+    return rows.select("ord", display.smart_quotes(F.col("title")).alias("shown"))
+
+
+_METRIC = "(SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS a, CAST(o_orderkey AS DOUBLE) AS b, o_orderkey % 3 = 0 AS daily FROM orders)"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN NOT daily THEN round(a / greatest(a, b), 9) END AS before, CASE WHEN NOT daily THEN round(b / greatest(a, b), 9) END AS after, CASE WHEN NOT daily THEN 'per week' END AS unit FROM {_METRIC}")
+def metric_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Two figures with their units as texts, taken apart again: lengths of bars, and the unit that both have."""
+    euro = lambda c, u: F.concat(F.lit("€"), F.col(c).cast("string"), F.lit(" per "), u)
+    before, after = euro("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, "day").otherwise("week")), euro("o_orderkey", F.lit("week"))
+    rows = table(spark, folder, "orders").select("o_orderkey", display.bar_scale(before, after).alias("x"), display.split_unit(before, after).alias("y"))
+    return rows.select("o_orderkey", F.round("x.before", 9).alias("before"), F.round("x.after", 9).alias("after"), "y.unit")
+
+
+@query("""SELECT ord, array_to_string(list_sort(list_distinct(list_concat(coalesce(c.sections_hint, []), coalesce(s.sections, [])))), ' ') AS sections FROM candidates c JOIN sources s ON c.source_id = s.id""")
+def all_sections(spark: SparkSession, folder: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    sources = table(spark, folder, "sources").select(F.col("id").alias("source_id"), F.coalesce("sections", none).alias("sections"))
+    rows = table(spark, folder, "candidates").select("ord", "source_id", F.coalesce("sections_hint", none).alias("hint")).join(sources, "source_id")
+    return rows.select("ord", F.array_join(F.array_sort(F.array_union("hint", "sections")), " ").alias("sections"))
+
+
+@query("SELECT DISTINCT doc_id FROM (" + SQL["claim_verification"] + ") WHERE why IS NULL AND doc_id IS NOT NULL")
+def claimed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that a kept claim names."""
+    claims, docs = _facts(spark, folder)
+    kept = evidence.verify_claims(claims, docs, "page", "ord", "summary", "doc_id").where("why IS NULL")
+    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id")
+
+
+@query("""SELECT count(*) AS feeds, count(*) FILTER (WHERE n > 0) AS working, CAST(coalesce(sum(n), 0) AS BIGINT) AS titled, count(*) FILTER (WHERE n = 0) AS silent
+    FROM (SELECT s.id, (SELECT count(*) FROM candidates c WHERE c.source_id = s.id AND length(c.title) > 0) AS n FROM sources s)""")
+def feed_totals(spark: SparkSession, folder: str) -> DataFrame:
+    health = monitoring.feed_health(table(spark, folder, "candidates"), table(spark, folder, "sources"), "source_id", "id")
+    return health.agg(F.count(F.lit(1)).alias("feeds"), F.count_if("ok").alias("working"), F.coalesce(F.sum("titled"), F.lit(0)).alias("titled"), F.count_if(~F.col("ok")).alias("silent"))
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 12")
+def latest_stories(spark: SparkSession, folder: str) -> DataFrame:
+    """A top-k report: the newest twelve; identifiers settle ties."""
+    return _stories(spark, folder).orderBy(F.desc("ts"), "event_id").limit(12).select("event_id", "ts")
+
+
+@query("""WITH t AS (SELECT event_id FROM events ORDER BY value DESC, event_id LIMIT 3) SELECT event_id, ts FROM events WHERE event_id NOT IN (SELECT event_id FROM t) ORDER BY ts DESC, event_id LIMIT 4""")
+def also_moving(spark: SparkSession, folder: str) -> DataFrame:
+    """A top-k report: the newest four of those that aren't the three strongest."""
+    rows = _stories(spark, folder)
+    top = rows.orderBy(F.desc("value"), "event_id").limit(3)
+    return publication.also_moving(rows, top, "event_id", [F.desc("ts"), F.col("event_id")], 4).select("event_id", "ts")
+
+
+@query("""SELECT page_id, CAST(len(links) * 40 // 60 + 1 AS INTEGER) AS minutes, array_to_string(list_transform(links[1:3], lambda x: x.href), ' ') AS first_three, links[len(links)].href AS last FROM pages WHERE len(links) > 0""")
+def link_slices(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "pages").where(F.size("links") > 0)
+    three = F.array_join(F.transform(F.slice("links", 1, 3), lambda x: x["href"]), " ")
+    return rows.select("page_id", display.reading_pace(F.size("links")).alias("minutes"), three.alias("first_three"), F.try_element_at("links", F.lit(-1))["href"].alias("last"))
+
+
+_XML = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""SELECT sha256('<urlset>' || string_agg(e, '' ORDER BY retrieved_at DESC, page_id) || '</urlset>') AS digest FROM (SELECT page_id, retrieved_at, '<url><loc>' || {_XML.replace('{0}', 'url')} || '</loc><lastmod>' ||
+    strftime(CAST(retrieved_at AT TIME ZONE 'UTC' AS TIMESTAMP), '%Y-%m-%d') || '</lastmod></url>' AS e FROM pages WHERE url IS NOT NULL AND retrieved_at IS NOT NULL ORDER BY retrieved_at DESC, page_id LIMIT 50)""")
+def newest_sitemap(spark: SparkSession, folder: str) -> DataFrame:
+    """A top-k report: a site map of the 50 pages fetched last, as one document."""
+    rows = table(spark, folder, "pages").where("url IS NOT NULL AND retrieved_at IS NOT NULL")
+    made = publication.joined(rows, publication.sitemap_entry(F.col("url"), F.col("retrieved_at")), [F.desc("retrieved_at"), F.col("page_id")], 50, "<urlset>", "</urlset>")
+    return made.select(F.sha2("document", 256).alias("digest"))
+
+
+@query("""SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS version FROM events WHERE event_type = 'error'""")
+def version_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _stories(spark, folder).where("event_type = 'error'").withColumn("at", F.struct("ts", "event_id"))
+    return files.append_versions(rows, None, "user_id", "at").select("user_id", "event_id", "version")
+
+
+@query("""SELECT cluster, array_to_string(list_sort(list(DISTINCT problem)), '; ') AS problems FROM (SELECT cluster, unnest([CASE WHEN coalesce(title, '') = '' THEN 'no title' END, CASE WHEN coalesce(url, '') = '' THEN 'no address' END]) AS problem
+    FROM candidates WHERE cluster IS NOT NULL) WHERE problem IS NOT NULL GROUP BY cluster""")
+def cluster_problems(spark: SparkSession, folder: str) -> DataFrame:
+    lacks = lambda c, text: F.when(F.coalesce(F.col(c), F.lit("")) == "", text)
+    rows = table(spark, folder, "candidates").where("cluster IS NOT NULL").select("cluster", F.explode(F.array(lacks("title", "no title"), lacks("url", "no address"))).alias("problem"))
+    return rows.where("problem IS NOT NULL").groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_set("problem")), "; ").alias("problems"))
+
+
+@query()
+def claimed_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """ord, n, claim, sentence: the first eight sentences with a figure of an item's readable documents, numbered over them."""
+    docs = _gathered(spark, folder).where(F.col("rights").isin(*evidence.READABLE))
+    each = docs.select("ord", "n", F.posexplode(X.plain_sentences(F.col("text"))).alias("place", "sentence")).where(F.rlike("sentence", F.lit("[0-9]")))
+    return ordering.first_in_group(each, ["ord"], [F.col("n"), F.col("place")], 8, "claim").select("ord", "n", "claim", "sentence")
