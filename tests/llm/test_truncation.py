@@ -16,6 +16,9 @@ def corpus(n=1500, seed=1):
         text = " ".join(say() for _ in range(rng.randint(2, 6)))
         if i % 3 == 0:
             text += f"\n\nContact: Kova {rng.choice(['Rail', 'Water'])} Office press desk"
+        elif i % 11 == 1:
+            where = ["wharf", "depot", "mill", "square", "market", "bridge", "island", "quarry", "meadow", "library", "theatre", "garden"]
+            text += f" They moved it to the {rng.choice(where)} and the {rng.choice(where)}. ({rng.choice(['Kova Health Network', 'Lunu Port Authority'])})"  # a signature, and nothing lost
         elif i % 5 == 0:
             text += " " + SENTENCES[0].replace("{n}", "77")
             at = rng.randint(20, len(text) - 12)
