@@ -62,8 +62,9 @@ def corroboration(items: DataFrame, key: str, owner: Column, tier: Column, right
 def copied_runs(drafts: DataFrame, sources: DataFrame, draft: str, draft_text: str, source_text: str, n: int) -> DataFrame:
     """draft, runs, copied: distinct runs of n words of each draft with that many words, and how many stand in any source.
 
-    A run is two hashes of 64 bits of its words, so no text is shuffled. Sources are reduced to their distinct runs, so a run
-    that all of them hold costs one row in the join.
+    A run is a hash of 64 bits and one of 32 of its words, so no text is shuffled. Sources are reduced to their distinct
+    runs, so a run that all of them hold costs one row in the join. Repeated runs of a draft meet there too, so they are
+    dropped behind it, where no other shuffle is needed for that.
     """
 
     def runs(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -71,11 +72,12 @@ def copied_runs(drafts: DataFrame, sources: DataFrame, draft: str, draft_text: s
         each = df.select(*keep, tokens(F.col(text), "[a-z0-9']+").alias("w")).where(F.size("w") >= n).select(*keep, "w", F.posexplode("w").alias("i", "c"))
         run = [F.get(words, i + k) for k in range(n)]
         each = each.where(i <= F.size(words) - n)
-        return each.select(*keep, F.xxhash64(*run).alias("h"), F.xxhash64(F.lit(n), *run[::-1]).alias("g")).distinct()
+        return each.select(*keep, F.xxhash64(*run).alias("h"), F.hash(F.lit(n), *run[::-1]).alias("g"))
 
-    theirs = runs(sources, source_text).withColumn("hit", F.lit(1))
+    theirs = runs(sources, source_text).distinct().withColumn("hit", F.lit(1))
     mine = runs(drafts.select(F.col(draft), F.col(draft_text)), draft_text, draft)
-    return mine.join(theirs, ["h", "g"], "left").groupBy(draft).agg(F.count(F.lit(1)).alias("runs"), F.count("hit").alias("copied"))
+    once = mine.join(theirs, ["h", "g"], "left").groupBy("h", "g", draft).agg(F.first("hit").alias("hit"))
+    return once.groupBy(draft).agg(F.count(F.lit(1)).alias("runs"), F.count("hit").alias("copied"))
 
 
 def used_sources(kept: DataFrame, documents: DataFrame, key: str, order: str) -> DataFrame:
